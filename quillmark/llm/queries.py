@@ -42,8 +42,8 @@ WITH rows AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 turns AS (
   SELECT *, lag(role, 1, '') OVER w AS before, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS n,
-    12 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\*)\|', '<\|', 'g')) + 1
-    + length(regexp_replace(text, '<(\*)\|', '<\|', 'g')) + 11 AS chars
+    12 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g')) + 1
+    + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY position)) AS turns_sha256,
