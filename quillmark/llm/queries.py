@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, quality
+from quillmark.llm import chat, quality, simhash
 from quillmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN 'assistant' THEN role = 'user' ELSE false END AND (position < n OR role = 'assistant')) AS valid
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
