@@ -219,7 +219,8 @@ def learn(own: np.ndarray, chain: np.ndarray, skip: np.ndarray, label: np.ndarra
 
 def examples(text: str) -> list[tuple[list[float], list[float], list[float], int]]:
     """Own features, neighbours' label counts over chain and skip links, label; each mention also with its marks changed,
-    next to its true self as a skip neighbour. Mentions without a pattern's label count as none."""
+    next to its true self as a skip neighbour. Mentions without a pattern's label count as none, but for those
+    with a skip link to a labelled one: what they are is not known, so they are no examples."""
     mentions = mentions_of(text)
     if not mentions:
         return []
@@ -239,6 +240,8 @@ def examples(text: str) -> list[tuple[list[float], list[float], list[float], int
     out = []
     for i, (a, b) in enumerate(mentions):
         own = text[a:b]
+        if label[i] == NONE and skip[i, :NONE].any():
+            continue
         out.append((describe(own).tolist(), chain[i].tolist(), skip[i].tolist(), int(label[i])))
         if label[i] != NONE:
             changed = own.replace("@", " (at) ") if label[i] == 0 else own.lstrip("+").replace("-", " ") if label[i] == 3 else own.replace("-", " ").replace(".", "-")
