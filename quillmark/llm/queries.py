@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontamination, packing, pii, quality, secret_scan, simhash, warc
+from quillmark.llm import chat, decontamination, lm, packing, pii, quality, secret_scan, simhash, warc
 from quillmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,32 @@ FROM b
 """
 
 
+@query
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), order=2)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+ORACLE_SQL["op8_lm"] = r"""
+WITH folds AS (
+  SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 5 = 1 AS held_out
+  FROM documents),
+words AS (SELECT row, doc_id, held_out, list_append(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), ' end') AS w FROM folds),
+tokens AS (SELECT row, doc_id, held_out, unnest(list_prepend(' end', w)[:-2]) AS before, unnest(w) AS word FROM words),
+uni AS (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
+bi AS (SELECT before, word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY before, word),
+sums AS (SELECT sum(c) AS n, count(*) AS v FROM uni),
+scored AS (
+  SELECT t.row, t.doc_id, t.held_out, u.c, (coalesce(u.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)) AS p, coalesce(b.c, 0) AS pair, coalesce(h.c, 0) AS state, s.n
+  FROM tokens t CROSS JOIN sums s LEFT JOIN uni u ON t.word = u.word LEFT JOIN uni h ON t.before = h.word LEFT JOIN bi b ON t.before = b.before AND t.word = b.word)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  round(sum(log10(p::DOUBLE)), 6) AS base_score, round(sum(log10((pair + 4.0::DOUBLE * p) / (state + 4.0::DOUBLE))), 6) AS score
+FROM scored GROUP BY row, doc_id, held_out
+"""
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
