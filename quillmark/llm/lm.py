@@ -246,7 +246,7 @@ def answered(requests: DataFrame) -> DataFrame:
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = 2, strength: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 2, strength: float = 300.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, SCORES: log10 probabilities of whole texts under the smoothed unigrams and under the automaton."""
     kind = dict(docs.dtypes)[id_col]
     blocks = cut(pack(docs, id_col, text_col))

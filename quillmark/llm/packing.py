@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import re
 import struct
 import zlib
 from collections import Counter
@@ -30,33 +31,83 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, map_batches
 
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker keeps, in each of two generations.
+CACHED_WORDS = 250_000
 #: Pieces that share one (length, bucket) at most, by expectation.
 BUCKET_ROWS = 500_000
+# Words of these characters alone are split, lowered and mapped to bytes here as the vocabulary's own rules do it: composed
+# Latin letters (their lower case depends on nothing around them), single digits, and other ASCII signs but the apostrophe.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
+_PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
+_SIMPLE = re.compile(rf"[{_LETTERS}!-&(-~]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Generations:
+    """A cache that forgets in two steps: when the newer half is full, the older one goes; what is asked for stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def ask(self, keys: set) -> list:
+        """The keys to compute; all others are in `new` afterwards."""
+        if len(self.new) + len(keys) > self.most:
+            self.new, self.old = {}, self.new
+        wanted = [k for k in keys if k not in self.new]
+        found = {k: self.old[k] for k in wanted if k in self.old}
+        self.new.update(found)
+        return [k for k in wanted if k not in found]
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word: the vocabulary's pre-tokeniser never joins characters across the white space
-    that words are split on here, so ids of equal words are equal and can be kept."""
+    that words are split on here, so ids of equal words are equal and can be kept. Simple words go piece by piece to the
+    model alone, which spares them the general normaliser; the rest to the whole tokeniser."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words, self.pieces, self.letters = Generations(CACHED_WORDS), Generations(CACHED_WORDS), byte_letters()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [(t or "").encode().split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list({w for ws in words for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        new = self.words.ask(set().union(*words))
+        parts, other = {}, []
+        for w in new:
+            word = w.decode()
+            if _SIMPLE.fullmatch(word) and "<|" not in word:
+                parts[w] = [p.lower() for p in _PIECE.findall(word)]
+            else:
+                other.append((w, word))
+        self._learn(set().union(*parts.values()))
+        known, piece = self.words.new, self.pieces.new.__getitem__
+        for w, ps in parts.items():
+            known[w] = b"".join(map(piece, ps))
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for (w, _), e in zip(part, self.whole.encode_batch([x for _, x in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = self.pieces.ask(pieces)
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
+            e = self.model.encode(" ".join(part).encode().decode("latin-1").translate(self.letters | {32: " "}), add_special_tokens=False)
+            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right") * 4
+            ids = np.array(e.ids, "<u4").tobytes()
+            self.pieces.new.update(zip(part, (ids[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -120,7 +120,7 @@ scored AS (
   SELECT t.row, t.doc_id, t.held_out, u.c, (coalesce(u.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)) AS p, coalesce(b.c, 0) AS pair, coalesce(h.c, 0) AS state, s.n
   FROM tokens t CROSS JOIN sums s LEFT JOIN uni u ON t.word = u.word LEFT JOIN uni h ON t.before = h.word LEFT JOIN bi b ON t.before = b.before AND t.word = b.word)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
-  round(sum(log10(p::DOUBLE)), 6) AS base_score, round(sum(log10((pair + 4.0::DOUBLE * p) / (state + 4.0::DOUBLE))), 6) AS score
+  round(sum(log10(p::DOUBLE)), 6) AS base_score, round(sum(log10((pair + 300.0::DOUBLE * p) / (state + 300.0::DOUBLE))), 6) AS score
 FROM scored GROUP BY row, doc_id, held_out
 """
 

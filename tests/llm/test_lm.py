@@ -51,7 +51,7 @@ def test_scores(spark, monkeypatch, order):
     vocabulary = ["The", "the", "É", "river", "ran", "x.", "end", "\t", "so", "on"]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for i in range(300)] + [(700, None), (701, ""), (None, "the river"), (5, rows_text := "ran so on"), (5, rows_text), (900, "the river ran so on " * 2000), (901, "unseen words only")]
     df = spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, score double").repartition(3)
-    got = sorted(X.score(df, order).collect(), key=repr)
+    got = sorted(X.score(df, order, 4.0).collect(), key=repr)
     want = sorted(by_hand(rows, order, 4.0), key=lambda r: repr(r[:2]))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 6))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):

@@ -16,11 +16,15 @@ def plain_ids(texts):
     return [[*e.ids, 2] for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_ids_by_word_equal_ids_of_texts():
+def test_ids_by_word_equal_ids_of_texts(monkeypatch):
     rng = random.Random(4)
     bits = ["don't", "É", "e", "́", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", " ", "ΣΑΣ", "ß", "123", "!?", "<|endoftext|>", "日本", "👍🏽", "'S", "_"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(20))) for _ in range(3000)]
-    got = X.WordTokenizer(PATH).ids(texts)
+    texts += ["".join(chr(c) for c in range(a, a + 40)) + " " + " ".join("x" + chr(c) + "Y." for c in range(a, a + 40)) for a in range(0x20, 0x2100, 40)]
+    texts += ["Hello, World! it's 2024-05-06 <|endoftext|> a|b #tag e-mail@x.org ŒUVRE Straße ĳ İstanbul ŉ ǅ"]
+    monkeypatch.setattr(X, "CACHED_WORDS", 700)
+    tokenizer = X.WordTokenizer(PATH)
+    got = [b for i in range(0, len(texts), 100) for b in tokenizer.ids(texts[i : i + 100])]
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x[:-1] for x in plain_ids(texts)]
 
 
