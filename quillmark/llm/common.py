@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words; the word pattern is [^\x20\x09-\x0D]+, which is what bytes.split() splits on.
@@ -58,3 +61,74 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def split_words(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of some texts: a number for each word in order, the distinct words by number, and each text's first word
+    (with the end of the last one). Words are split as by bytes.split(), that is by white space of ASCII."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    parts = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    coded = pc.dictionary_encode(parts.flatten())
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist()
+    offsets = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = offsets - offsets[0]
+    if b"" in words:  # stands before white space at the start, and after white space at the end
+        empty = words.index(b"")
+        kept = codes != empty
+        offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+        codes = codes[kept]
+        codes = codes - (codes > empty)
+        del words[empty]
+    return codes, words, offsets
+
+
+def pack_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """block, payload: rows in their order as compressed Arrow streams of about `block_bytes` each (a larger row is a block of
+    its own). Block numbers hold from attempt to attempt only once the result is checkpointed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, size, n = [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for b in held:
+                    writer.write_batch(b)
+            return pa.RecordBatch.from_pydict({"block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            for b in _slices(batch, block_bytes // 4):
+                held.append(b)
+                size += b.nbytes
+                if size >= block_bytes:
+                    yield out()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, "block long, payload binary")
+
+
+def block_parts(payload: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(payload) as reader:
+        yield from reader
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Compressed by byte planes, where the upper bytes of sorted differences and of counts are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def hash_ranges(ordered: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Number, start and end of each of the 2^bits equal ranges of 64-bit values that has some of the sorted ones."""
+    cuts = np.searchsorted(ordered, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0)
+    ends = np.concatenate([[0], cuts, [len(ordered)]]).astype(np.int64)
+    for r in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield r, int(ends[r]), int(ends[r + 1])

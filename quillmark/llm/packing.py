@@ -23,21 +23,24 @@ import re
 import struct
 import zlib
 from collections import Counter
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, map_batches
+from quillmark.llm.common import _arrow_schema, _slices, cut, map_batches, split_words
 
 #: Words whose ids a Python worker keeps, in each of two generations.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 #: Pieces that share one (length, bucket) at most, by expectation.
 BUCKET_ROWS = 500_000
 # Words of these characters alone are split, lowered and mapped to bytes here as the vocabulary's own rules do it: composed
 # Latin letters (their lower case depends on nothing around them), single digits, and other ASCII signs but the apostrophe.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
 _SIMPLE = re.compile(rf"[{_LETTERS}!-&(-~]+")
 
@@ -55,14 +58,18 @@ class Generations:
     def __init__(self, most: int) -> None:
         self.most, self.new, self.old = most, {}, {}
 
-    def ask(self, keys: set) -> list:
+    def ask(self, keys: Iterable) -> list:
         """The keys to compute; all others are in `new` afterwards."""
-        if len(self.new) + len(keys) > self.most:
+        keys = list(keys)
+        missing = set(filterfalse(self.new.__contains__, keys))
+        if len(self.new) + len(missing) > self.most:
             self.new, self.old = {}, self.new
-        wanted = [k for k in keys if k not in self.new]
-        found = {k: self.old[k] for k in wanted if k in self.old}
+            missing = set(keys)
+        if not self.old:
+            return list(missing)
+        found = {k: self.old[k] for k in missing if k in self.old}
         self.new.update(found)
-        return [k for k in wanted if k not in found]
+        return list(missing.difference(found))
 
 
 class WordTokenizer:
@@ -79,29 +86,35 @@ class WordTokenizer:
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.words, self.pieces, self.letters = Generations(CACHED_WORDS), Generations(CACHED_WORDS), byte_letters()
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [(t or "").encode().split() for t in texts]
-        new = self.words.ask(set().union(*words))
+    def ids(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin (with the end of the last)."""
+        codes, words, offsets = split_words(texts)
+        new = self.words.ask(words)
         parts, other = {}, []
         for w in new:
             word = w.decode()
             if _SIMPLE.fullmatch(word) and "<|" not in word:
-                parts[w] = [p.lower() for p in _PIECE.findall(word)]
+                parts[w] = _PIECE.findall(word.lower())
             else:
                 other.append((w, word))
-        self._learn(set().union(*parts.values()))
+        self._learn(parts.values())
         known, piece = self.words.new, self.pieces.new.__getitem__
         for w, ps in parts.items():
-            known[w] = b"".join(map(piece, ps))
+            known[w] = b"".join(map(piece, ps)) if len(ps) > 1 else piece(ps[0])
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for (w, _), e in zip(part, self.whole.encode_batch([x for _, x in part], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = self.pieces.ask(pieces)
+        found = list(map(known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)
+        return flat[at], ends[offsets]
+
+    def _learn(self, pieces: Collection[list[str]]) -> None:
+        new = self.pieces.ask(chain.from_iterable(pieces))
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
             e = self.model.encode(" ".join(part).encode().decode("latin-1").translate(self.letters | {32: " "}), add_special_tokens=False)
@@ -121,21 +134,24 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, and the ids themselves if asked for."""
-    kind, end = dict(docs.dtypes)[id_col], struct.pack("<I", end_id)
-
-    def run(b: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        for doc, ids in zip(b["id"], tokenizer_of(tokenizer_path).ids(b["text"]), strict=True):
-            ids += end
-            n = len(ids) // 4
-            for at in range(0, n, capacity):
-                part = ids[4 * at : 4 * (at + capacity)]
-                for c, v in zip(out, (doc, at, len(part) // 4, zlib.crc32(part), n, part), strict=True):
-                    out[c].append(v)
-        return out
-
-    more = ", ids binary" if with_ids else ""
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long{more}").withColumnRenamed("id", id_col)
+    schema = f"id {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long{', ids binary' if with_ids else ''}"
+    arrow = _arrow_schema(docs.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _slices(batch):
+                out: dict[str, list] = {f.name: [] for f in arrow}
+                ids, ends = tokenizer_of(tokenizer_path).ids(b.column(1))
+                for doc, a, z in zip(b.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                    n = z - a + 1
+                    own = ids[a:z].tobytes() + struct.pack("<I", end_id)
+                    for at in range(0, n, capacity):
+                        part = own[4 * at : 4 * (at + capacity)]
+                        for c, v in zip(out, (doc, at, len(part) // 4, zlib.crc32(part), n, part), strict=False):
+                            out[c].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 @dataclass
