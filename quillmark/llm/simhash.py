@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, map_batches
@@ -201,5 +201,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the first by id, then by a hash of the text; rows without an id come last. Texts are shuffled
+    once, by that key."""
+    names = docs.columns
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.withColumn("_key", key)
+    groups = near_duplicates(keyed, shingle, radius, "_key", text_col)
+    chosen = groups.where("_key = component_id").select("_key").distinct()
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(text_col))
+    return keyed.join(chosen, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*names)
+
+
 def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
