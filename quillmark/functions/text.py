@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions.tokens import let
+
 # Character tables and patterns of the cleaning contract.
 OLD_LETTERS = "ѣѢіІїЇѳѲѵѴ"
 NEW_LETTERS = "еЕиИиИфФиИ"
@@ -104,13 +106,17 @@ def historical_word(word: Column) -> Column:
 
 def drop_doubled(text: Column, least: int = 200, probe: int = 40) -> Column:
     """A text that starts over in its middle half loses the second copy; words are then joined by single spaces."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    first = F.greatest(F.lit(probe), F.floor(n / 4).cast("int"))
-    last = F.floor(3 * n / 4).cast("int") - 1
-    head = F.slice(words, 1, probe)
-    found = F.filter(F.when((n >= least) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda i: (F.element_at(words, i + 1) == F.element_at(words, 1)) & (F.slice(words, i + 1, probe) == head))
-    return F.when(F.size(found) > 0, F.array_join(F.slice(words, 1, F.greatest(F.element_at(found, 1), F.lit(1))), " ")).otherwise(text)
+
+    def first_copy(words: Column) -> Column:
+        n = F.size(words)
+        first = F.greatest(F.lit(probe), F.floor(n / 4).cast("int"))
+        last = F.floor(3 * n / 4).cast("int") - 1
+        places = F.when((n >= least) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        head = F.slice(words, 1, probe)
+        found = F.filter(places, lambda i: F.when(F.element_at(words, i + 1) == F.element_at(words, 1), F.slice(words, i + 1, probe) == head).otherwise(F.lit(False)))
+        return F.when(F.size(found) > 0, F.array_join(F.slice(words, 1, F.greatest(F.element_at(found, 1), F.lit(1))), " ")).otherwise(text)
+
+    return let(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), first_copy)
 
 
 def repair_literal(text: Column, old: str, new: str) -> Column:

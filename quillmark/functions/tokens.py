@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ JOINED_WORD = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
 PUNCTUATION = r"[\p{P}\p{S}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: a lambda's free expressions are computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-cased Unicode words; words of one character count."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
@@ -35,27 +42,29 @@ def space_words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end in a run of . ! ? or …, or at a line feed."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?…\n]+[.!?…]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?…\n]+[.!?…]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(tokens: Column, low: int, high: int | None = None) -> Column:
     """All n-grams for n in low..high, joined by one space, shortest first."""
-    def of(n: int) -> Column:
-        count = F.size(tokens) - (n - 1)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*(of(n) for n in range(low, (high or low) + 1))))
+    def of(ts: Column, n: int) -> Column:
+        count = F.size(ts) - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(ts, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, lambda ts: F.flatten(F.array(*(of(ts, n) for n in range(low, (high or low) + 1)))))
 
 
 def char_ngrams(text: Column, low: int, high: int | None = None) -> Column:
-    """All substrings of low..high characters, after runs of space became one."""
-    plain = F.regexp_replace(text, r"(?U)\s\s+", " ")
+    """All substrings of low..high characters, after runs of space became one. A substring of characters is found by counting from
+    the text's start, so the text is split into characters once and slices are joined."""
 
-    def of(n: int) -> Column:
-        count = F.length(plain) - (n - 1)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(plain, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def of(chars: Column, n: int) -> Column:
+        count = F.size(chars) - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*(of(n) for n in range(low, (high or low) + 1))))
+    chars = F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s\s+", " "), F.lit("(?s)."), F.lit(0))
+    return let(chars, lambda cs: F.flatten(F.array(*(of(cs, n) for n in range(low, (high or low) + 1)))))
 
 
 def char_ngrams_in_words(text: Column, low: int, high: int | None = None) -> Column:
@@ -96,14 +105,17 @@ def bleach(tokens: Column, markers: dict[str, str]) -> Column:
 
 def word_windows(text: Column, size: int, keep_tail: bool = True) -> Column:
     """Windows of `size` words next to each other; a text of at most `size` words is one chunk as it stands."""
-    w = space_words(text)
-    n = F.size(w)
-    count = F.ceil(n / size) if keep_tail else F.floor(n / size)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(count.cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
     none = F.array().cast("array<string>")
-    if keep_tail:
-        return F.when(n == 0, none).when(n <= size, F.array(text)).otherwise(cut)
-    return F.when(n < size, none).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        count = F.ceil(n / size) if keep_tail else F.floor(n / size)
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(count.cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+        if keep_tail:
+            return F.when(n == 0, none).when(n <= size, F.array(text)).otherwise(parts)
+        return F.when(n < size, none).otherwise(parts)
+
+    return let(space_words(text), cut)
 
 
 def packed_sentences(sents: Column, sizes: Column, size: int, least: int) -> Column:
@@ -125,6 +137,9 @@ def packed_sentences(sents: Column, sizes: Column, size: int, least: int) -> Col
 
 def even_sample(values: Column, most: int) -> Column:
     """At most `most` values, evenly spaced by place, first and last among them."""
-    n = F.size(values)
-    step = lambda i: F.floor(i * (n - 1) / F.lit(max(most - 1, 1))).cast("int") + 1
-    return F.when(n <= most, values).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(values, step(i))))
+
+    def pick(v: Column) -> Column:
+        step = F.size(v) - 1
+        return F.when(F.size(v) <= most, v).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(v, F.floor(i * step / F.lit(max(most - 1, 1))).cast("int") + 1)))
+
+    return let(values, pick)

@@ -29,10 +29,16 @@ def entropy(counts: Column) -> Column:
 def vowel_rhythm(text: Column, hard: str = HARD, soft: str = SOFT, least: int = 20) -> Column:
     """Entropy of neighbouring hard and soft vowels; zero below `least` vowels."""
     letters = F.regexp_replace(F.array_join(T.alpha_words(F.lower(text)), ""), f"[^{hard}{soft}]", "")
-    hs = F.translate(letters, hard + soft, "H" * len(hard) + "S" * len(soft))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(hs) - 1, F.lit(1))), lambda i: F.substring(hs, i, F.lit(2)))
-    counts = F.array(*(F.size(F.filter(pairs, lambda p, k=k: p == k)).cast("double") for k in ("HH", "HS", "SH", "SS")))
-    return F.when(F.length(hs) < least, F.lit(0.0)).otherwise(entropy(counts))
+
+    def of(hs: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(hs) - 1, F.lit(1)))
+        return T.let(F.transform(places, lambda i: F.substring(hs, i, F.lit(2))), lambda pairs: F.when(F.length(hs) < least, F.lit(0.0)).otherwise(entropy(F.array(*(_times(pairs, k) for k in ("HH", "HS", "SH", "SS"))))))
+
+    return T.let(F.translate(letters, hard + soft, "H" * len(hard) + "S" * len(soft)), of)
+
+
+def _times(values: Column, value: str) -> Column:
+    return F.size(F.filter(values, lambda v: v == value)).cast("double")
 
 
 def punctuation_rates(text: Column) -> dict[str, Column]:
@@ -97,7 +103,8 @@ def richness_by_length(rows: DataFrame, least_points: int = 6, least_words: int
 
 def pos_ratios(tokens: Column, tags: tuple[str, ...] = ("NOUN", "VERB", "ADJ", "ADV")) -> dict[str, Column]:
     alpha = F.filter(tokens, lambda t: t["is_alpha"])
-    return {tag.lower(): F.coalesce(F.try_divide(F.size(F.filter(alpha, lambda t, tag=tag: t["pos"] == tag)), F.size(alpha)), F.lit(0.0)) for tag in tags}
+    share = lambda tag: F.coalesce(F.try_divide(F.size(F.filter(alpha, lambda t: t["pos"] == tag)), F.size(alpha)), F.lit(0.0))
+    return {tag.lower(): share(tag) for tag in tags}
 
 
 def morphology(rows: DataFrame, unit: str = "chunk_id") -> DataFrame:
@@ -144,7 +151,7 @@ def suffix_profile(tokens: Column, suffixes: list[str]) -> dict[str, Column]:
         return case
 
     found = F.filter(F.transform(lemmas, first), lambda s: s.isNotNull())
-    counts = F.array(*(F.size(F.filter(found, lambda x, s=s: x == s)).cast("double") for s in suffixes))
+    counts = F.array(*(_times(found, s) for s in suffixes))
     n = F.size(lemmas) + 1
     out = {f"suffix_{s}": F.element_at(counts, i + 1) / n for i, s in enumerate(suffixes)}
     largest = F.log2(F.lit(float(max(len(suffixes), 2))))

@@ -1,10 +1,8 @@
-"""Registry of the engine's own queries and their SQL."""
+"""Registry of the engine's own queries and the SQL that each is compared with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmark.queries.registry import ORACLE_SQL, QUERIES
+from quillmark.queries import evaluation, models, overlap, relations, text, vocabulary  # noqa: F401, I001  (they register)
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
