@@ -23,11 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import map_batches
+from quillmark.llm.common import map_batches, split_words
 
 # Units in their written forms.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v a j kj cal kcal pa kpa bar k c f usd eur gbp meter meters metre metres kilometer kilometers mile miles inch inches foot feet yard yards gram grams kilogram kilograms ton tons pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split())
@@ -58,11 +59,12 @@ class Lexicon:
         self.number: dict[bytes, int] = {}
         self.hash, self.kind, self.ends, self.bare = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), []
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
+    def codes(self, distinct: list[bytes]) -> np.ndarray:
+        """The number of each of some distinct words."""
+        new = [w for w in distinct if w not in self.number]
         if len(self.number) + len(new) > CACHED_WORDS and self.number:
             self.__init__()
-            new = list(dict.fromkeys(words))
+            new = distinct
         if new:
             found = [word_class(w.decode("utf-8", "replace")) for w in new]
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
@@ -70,7 +72,7 @@ class Lexicon:
             self.kind = np.concatenate([self.kind, np.array([k for k, _, _ in found], np.int8)])
             self.ends = np.concatenate([self.ends, np.array([e for _, _, e in found], bool)])
             self.bare += [low for _, low, _ in found]
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
 
     def template(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and class of each word in its place; `first` marks the words that start a text. A capital makes a name
@@ -117,7 +119,9 @@ class Block:
             words = text.encode().split()
             if len(words) < least_words:
                 continue
-            codes = lexicon.codes(words)
+            distinct = list(dict.fromkeys(words))
+            numbers = dict(zip(distinct, lexicon.codes(distinct).tolist(), strict=True))
+            codes = np.array([numbers[w] for w in words], np.int64)
             value, kind = lexicon.template(codes, np.arange(len(words)) == 0)
             w = min(width, len(words))
             number = len(self.items)
@@ -169,17 +173,15 @@ def consistent(item: Item, hits: list[tuple[int, int, int]], words: list[str]) -
     return covered, kept, len(slots), sum(slots.values())
 
 
-def leaks(texts: list[str | None], block: Block, lexicon: Lexicon, least_cover: float) -> list[list[dict]]:
+def leaks(texts: list[str | None] | pa.Array, block: Block, lexicon: Lexicon, least_cover: float) -> list[list[dict]]:
     """For each text the items it holds."""
-    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    sizes = np.array([len(s) for s in split])
-    out: list[list[dict]] = [[] for _ in texts]
-    words = [w for s in split for w in s]
-    if not words or not block.tables:
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    inner, distinct, offsets = split_words(texts)
+    if not len(inner) or not block.tables:
         return out
-    codes = lexicon.codes(words)
-    ends = np.cumsum(sizes)
-    first = np.zeros(len(words), bool)
+    codes = lexicon.codes(distinct)[inner]
+    ends, sizes = offsets[1:], np.diff(offsets)
+    first = np.zeros(len(inner), bool)
     first[(ends - sizes)[sizes > 0]] = True
     value, _ = lexicon.template(codes, first)
     by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
