@@ -30,14 +30,14 @@ def delta_model(rows: DataFrame, most: int = 150, denominator: str = "events", v
     """Statistics (term, mean, std), work z-scores (work_id, author, term, z) and centroids (author, term, z). rows: author, work_id,
     text. denominator: `events` (all tokens) or `selected` (tokens of the vocabulary); vocabulary: `pooled` or `work`."""
     terms = T.words(F.col("text"))
-    table = V.counts(rows, terms)
-    sizes = V.events(rows, terms)
+    table = V.hoisted(V.counts(rows, terms))
+    sizes = V.hoisted(V.sizes_of(table)) if denominator == "events" or vocabulary == "work" else None
     vocab = V.most_frequent(table, most) if vocabulary == "pooled" else V.work_vocabulary(table, sizes, most)
     chosen = table.join(F.broadcast(vocab.select("term")), "term")  # `most` rows
     values = V.relative(chosen, sizes) if denominator == "events" else V.selected_share(chosen)
-    units = rows.select("work_id", "author").distinct()
+    units = V.hoisted(rows.select("work_id", "author").distinct())
     stats = V.statistics(values, units)
-    z = V.zscores(values, stats, units).join(units, "work_id")
+    z = V.hoisted(V.zscores(values, stats, units).join(units, "work_id"))
     return stats, z, z.groupBy("author", "term").agg(F.avg("z").alias("c"))
 
 

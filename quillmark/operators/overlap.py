@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import tokens as T
+from quillmark.operators.vocabulary import hoisted
 
 
 def exact_groups(rows: DataFrame, unit: str = "work_id", text: str = "text") -> DataFrame:
@@ -53,7 +54,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.4, unit: str = "work_i
     texts the first stands for all; `exact_copies` has the rest. Texts without shingles match if their words are equal."""
     text = F.array_join(T.words(F.col("text")), " ")
     distinct = rows.select(unit, "text").groupBy(F.sha2(text, 256).alias("_d")).agg(F.min(F.struct(unit, "text")).alias("_m")).select(f"_m.{unit}", "_m.text")
-    counts = shingle_counts(distinct, unit=unit)
+    counts = hoisted(shingle_counts(distinct, unit=unit))
     sizes = counts.groupBy(unit).agg(F.sum("n").alias("total"))
     # the smaller text's rarest shingles must meet any of the larger one's
     keys = prefixes(counts, threshold, unit)
@@ -71,7 +72,7 @@ def containment(rows: DataFrame, num: int = 9, den: int = 10, least: int = 20, u
     distinct = rows.groupBy(F.sha2("text", 256).alias("_d")).agg(F.min(F.struct(unit, "text")).alias("_m")).select(f"_m.{unit}", "_m.text")
     sets = shingle_sets(distinct, 5, unit)
     sizes = sets.groupBy(unit).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    sets = sets.join(sizes, unit)
+    sets = hoisted(sets.join(sizes, unit))
     keys = prefixes(sets.select(unit, "term", F.lit(1).alias("n")), num / den, unit)
     s, o = keys.join(sizes, unit).alias("s"), sets.select(F.col(unit).alias("_o"), "term", F.col("size").alias("_os")).alias("o")
     smaller = (F.col("s.size") < F.col("_os")) | ((F.col("s.size") == F.col("_os")) & (F.col(f"s.{unit}") < F.col("_o")))
@@ -98,7 +99,8 @@ def novelty(sentences: DataFrame, base: DataFrame, width: int = 4, least_words:
     w = T.words(F.col("text"))
     own = sentences.withColumn("_w", w).where(F.size("_w") >= least_words)
     grams = own.select("sent_id", F.explode_outer(F.when(F.size("_w") >= width, T.ngrams(F.col("_w"), width)).otherwise(T.ngrams(F.col("_w"), width - 1))).alias("g"))
-    known = base.select(F.explode(T.ngrams(w, width - 1, width)).alias("g")).distinct().withColumn("hit", F.lit(1))
+    # only what a sentence asks for is made distinct: the base edition's other n-grams are never shuffled where the sentences are few
+    known = base.select(F.explode(T.ngrams(w, width - 1, width)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     return grams.join(known, "g", "left").groupBy("sent_id").agg(F.avg(F.when(F.col("g").isNull(), F.lit(1.0)).otherwise(F.coalesce("hit", F.lit(0)).cast("double"))).alias("share"))
 
 
@@ -107,10 +109,10 @@ def fragment_containment(fragments: DataFrame, outer: DataFrame, width: int = 4)
     its shingles, or, if it is shorter than one, as a run of words. fragments: frag_id, text; outer: text."""
     w = T.words(F.col("text"))
     grams = fragments.select("frag_id", F.size(w).alias("words"), F.explode(T.ngrams(w, width)).alias("g"))
-    known = outer.select(F.explode(T.ngrams(w, width)).alias("g")).distinct().withColumn("hit", F.lit(1))
+    known = outer.select(F.explode(T.ngrams(w, width)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     long_ = grams.join(known, "g", "left").groupBy("frag_id").agg(F.max("words").alias("words"), F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("share"))
     short = fragments.where(F.size(w) < width).select("frag_id", F.size(w).alias("words"), T.ngrams(w, 1, width - 1).alias("_all"), F.array_join(w, " ").alias("g")).where("words > 0")
-    known_short = outer.select(F.explode(T.ngrams(w, 1, width - 1)).alias("g")).distinct().withColumn("hit", F.lit(1.0))
+    known_short = outer.select(F.explode(T.ngrams(w, 1, width - 1)).alias("g")).join(short.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1.0))
     short = short.join(known_short, "g", "left").select("frag_id", "words", F.coalesce("hit", F.lit(0.0)).alias("share"))
     return long_.unionByName(short).agg(F.coalesce(F.sum(F.col("share") * F.col("words")) / F.sum("words"), F.lit(0.0)).alias("found"))
 

@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def hoisted(rows: DataFrame) -> DataFrame:
+    """A table that several parts of one plan read, kept (in memory, then on disk) instead of being made once for each; lost parts
+    are made again. `spark.catalog.clearCache()` or `unpersist()` lets it go."""
+    return rows.persist()
+
+
 def counts(rows: DataFrame, terms: Column, unit: str | list[str] = "work_id") -> DataFrame:
     """unit, term, n. Partial sums are made where the rows are, so what is shuffled are distinct terms of a unit."""
     units = [unit] if isinstance(unit, str) else unit
@@ -22,6 +28,11 @@ def events(rows: DataFrame, terms: Column, unit: str | list[str] = "work_id") ->
     return rows.groupBy(*units).agg(F.sum(F.size(terms)).alias("events"))
 
 
+def sizes_of(table: DataFrame, unit: str = "work_id") -> DataFrame:
+    """unit, events out of a whole count table (before pruning), for units with any term: the text is not read again."""
+    return table.groupBy(unit).agg(F.sum("n").alias("events"))
+
+
 def most_frequent(table: DataFrame, most: int) -> DataFrame:
     """term, total, rank of the `most` terms with the largest total count; a top-k, taken in each partition before they meet."""
     top = table.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(most)

@@ -139,9 +139,9 @@ def held_out_scores(spec: str, works: DataFrame, weighting: str = "none") -> Dat
         return A.held_out_cosine(z.select("work_id", "term", F.col("z").alias("value")), works.select("work_id", "author").distinct())
     if model.key == "char_cos":
         terms = T.char_ngrams(F.lower(F.col("text")), 3)
-        table, sizes = V.counts(works, terms), V.events(works, terms)
-        vocab = V.work_vocabulary(table, sizes, 5000) if balanced else V.pooled_vocabulary(table, 2, 5000)
-        return A.held_out_cosine(V.tfidf(table, vocab), works.select("work_id", "author").distinct())
+        table = V.hoisted(V.counts(works, terms))
+        vocab = V.work_vocabulary(table, V.sizes_of(table), 5000) if balanced else V.pooled_vocabulary(table, 2, 5000)
+        return A.held_out_cosine(V.hoisted(V.tfidf(table, vocab)), works.select("work_id", "author").distinct())
     if model.key == "majority":
         return works.select("work_id", "author").distinct().crossJoin(F.broadcast(A.majority(works.select("work_id", "author").distinct()).select(F.col("author").alias("candidate")))).withColumn("score", F.lit(1.0))
     raise ValueError(f"{spec!r} is learned: see operators.models")

@@ -15,7 +15,8 @@ def parts(spark, d, most=150):
     """rows, counts, events, and the counts of the most frequent words."""
     rows = works(spark, d)
     terms = T.words(F.col("text"))
-    table, sizes = V.counts(rows, terms), V.events(rows, terms)
+    table = V.hoisted(V.counts(rows, terms))
+    sizes = V.sizes_of(table)
     vocab = V.most_frequent(table, most)
     return rows, table, sizes, vocab, table.join(F.broadcast(vocab.select("term")), "term")
 

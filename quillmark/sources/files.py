@@ -13,6 +13,13 @@ from pyspark.sql import types as T
 PREDICTIONS = T.StructType([T.StructField("work_id", T.StringType()), T.StructField("author", T.StringType()), T.StructField("true_label", T.IntegerType(), False), T.StructField("pred_label", T.IntegerType())])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt to all of them: a file's row groups can't be split, so one file may be one
+    task. Tables of many files stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
+
+
 def raw_corpus(spark: SparkSession, root: str) -> DataFrame:
     """author, work_id, text of root/<author>/<work>.txt; fails a row that is empty or no valid UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{root}/*/")
