@@ -25,18 +25,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import _slices, cut
+from quillmark.llm.common import block_parts, cut, hash_ranges, pack_blocks, planes, split_words, unplaned
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 16 << 20
-#: Hash ranges for each block: a block of 16 MB has up to some 4M distinct n-grams of two orders.
-RANGES_PER_BLOCK = 4
-CACHED_WORDS = 400_000
+BLOCK_BYTES = 8 << 20
+#: Hash ranges for each block: a block of 8 MB has up to some 2M distinct n-grams of two orders.
+RANGES_PER_BLOCK = 2
+CACHED_WORDS = 250_000
 END = xxhash.xxh64_intdigest(b" end")  # no word has a space
 
 
@@ -44,31 +42,19 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Compressed by byte planes, where the upper bytes of sorted differences and of counts are mostly zero."""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
-
-
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 class Words:
-    """Hashes of words, kept for the words of late."""
+    """Hashes of lower-cased words, kept for the words of late."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        new = {w for w in words if w not in self.known}
+    def __call__(self, distinct: list[bytes]) -> np.ndarray:
+        new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, set(words)
+            self.known, new = {}, distinct
         digest = xxhash.xxh64_intdigest
-        self.known.update((w, digest(w)) for w in new)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        self.known.update((w, digest(w.lower())) for w in new)  # bytes.lower() is lower case of ASCII alone
+        return np.fromiter(map(self.known.__getitem__, distinct), np.uint64, len(distinct))
 
 
 @dataclass(frozen=True)
@@ -79,13 +65,13 @@ class Tokens:
     first: np.ndarray
 
     @staticmethod
-    def of(texts: list[str | None], hashes: Words) -> Tokens:
-        parts = [hashes(t or "") for t in texts]
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    def of(texts: list[str | None] | pa.Array, hashes: Words) -> Tokens:
+        codes, distinct, offsets = split_words(texts)
+        sizes = np.diff(offsets) + 1
         word = np.full(sizes.sum(), END, np.uint64)
         inner = np.ones(len(word), bool)
         inner[np.cumsum(sizes) - 1] = False
-        word[inner] = np.concatenate(parts) if parts else []
+        word[inner] = hashes(distinct)[codes]
         return Tokens(word, np.cumsum(sizes) - sizes)
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
@@ -150,42 +136,15 @@ def contexts(tokens: Tokens, counts: list[tuple[np.ndarray, np.ndarray]], texts:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """block, payload: id, held_out, text of some rows as a compressed Arrow stream."""
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n = [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                for b in held:
-                    writer.write_batch(b)
-            return pa.RecordBatch.from_pydict({"block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            for b in _slices(batch, BLOCK_BYTES // 4):
-                held.append(b)
-                size += b.nbytes
-                if size >= BLOCK_BYTES:
-                    yield out()
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield out()
-
-    return rows.mapInArrow(run, "block long, payload binary")
-
-
-def _parts(payload: bytes) -> Iterator[pa.RecordBatch]:
-    with pa.ipc.open_stream(payload) as reader:
-        yield from reader
+    """block, payload: id, held_out, text of some rows."""
+    return pack_blocks(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")), BLOCK_BYTES)
 
 
 def _block(payload: bytes, hashes: Words) -> tuple[list, np.ndarray, Tokens]:
     """ids, held_out and tokens of a block, a part of it at a time."""
     ids, held, word, first, n = [], [], [], [], 0
-    for b in _parts(payload):
-        t = Tokens.of(b.column(2).to_pylist(), hashes)
+    for b in block_parts(payload):
+        t = Tokens.of(b.column(2), hashes)
         ids += b.column(0).to_pylist()
         held += b.column(1).to_pylist()
         word.append(t.word)
@@ -207,9 +166,7 @@ def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                 for n, (at, key) in enumerate(tokens.keys(order), 1):
                     distinct, inverse = np.unique(key, return_inverse=True)
                     counts = np.bincount(inverse[train[at]], minlength=len(distinct)).astype(np.uint32)
-                    cuts = np.searchsorted(distinct, np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits)) if bits else []
-                    ends = np.concatenate([[0], cuts, [len(distinct)]]).astype(np.int64)
-                    full = [(r, a, z) for r, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
+                    full = list(hash_ranges(distinct, bits))
                     payload = [_pair(planes(np.diff(distinct[a:z], prepend=np.uint64(0))), planes(counts[a:z])) for _, a, z in full]
                     k = len(full)
                     yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in full], pa.int32()), pa.array([b.column(0)[row].as_py()] * k, pa.int64()), pa.array([n] * k, pa.int32()), pa.array([z - a for _, a, z in full], pa.int64()), pa.array(payload, pa.binary())], schema=schema)
