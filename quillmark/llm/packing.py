@@ -23,9 +23,9 @@ import re
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ BUCKET_ROWS = 500_000
 # Latin letters (their lower case depends on nothing around them), single digits, and other ASCII signs but the apostrophe.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _PIECE = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
-_SIMPLE = re.compile(rf"[{_LETTERS}!-&(-~]+")
+# Of words by line: those with another character, or with what may be a special token.
+_ODD = re.compile(rf"^(?:[{_LETTERS}!-&(-~]*[^{_LETTERS}!-&(-~\n].*|.*<\|.*)$", re.M)
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,18 +59,17 @@ class Generations:
     def __init__(self, most: int) -> None:
         self.most, self.new, self.old = most, {}, {}
 
-    def ask(self, keys: Iterable) -> list:
-        """The keys to compute; all others are in `new` afterwards."""
-        keys = list(keys)
-        missing = set(filterfalse(self.new.__contains__, keys))
+    def ask(self, keys: list) -> list:
+        """The keys (distinct ones) to compute; all others are in `new` afterwards."""
+        missing = list(filterfalse(self.new.__contains__, keys))
         if len(self.new) + len(missing) > self.most:
             self.new, self.old = {}, self.new
-            missing = set(keys)
+            missing = keys
         if not self.old:
-            return list(missing)
-        found = {k: self.old[k] for k in missing if k in self.old}
-        self.new.update(found)
-        return list(missing.difference(found))
+            return missing
+        known = list(filter(self.old.__contains__, missing))
+        self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(filterfalse(self.old.__contains__, missing))
 
 
 class WordTokenizer:
@@ -84,23 +84,19 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.words, self.pieces, self.letters = Generations(CACHED_WORDS), Generations(CACHED_WORDS), byte_letters()
+        self.words, self.pieces, self.letters = Generations(CACHED_WORDS), Generations(CACHED_WORDS), byte_letters() | {32: " "}
 
     def ids(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text's begin (with the end of the last)."""
         codes, words, offsets = split_words(texts)
         new = self.words.ask(words)
-        parts, other = {}, []
-        for w in new:
-            word = w.decode()
-            if _SIMPLE.fullmatch(word) and "<|" not in word:
-                parts[w] = _PIECE.findall(word.lower())
-            else:
-                other.append((w, word))
-        self._learn(parts.values())
-        known, piece = self.words.new, self.pieces.new.__getitem__
-        for w, ps in parts.items():
-            known[w] = b"".join(map(piece, ps)) if len(ps) > 1 else piece(ps[0])
+        known = self.words.new
+        lines = b"\n".join(new).decode().split("\n") if new else []
+        odd = set(_ODD.findall("\n".join(lines)))
+        simple = [(w, x) for w, x in zip(new, lines, strict=True) if x not in odd] if odd else list(zip(new, lines, strict=True))
+        if simple:
+            known.update(zip((w for w, _ in simple), self._by_piece([x for _, x in simple]), strict=True))
+        other = [(w, x) for w, x in zip(new, lines, strict=True) if x in odd] if odd else []
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for (w, _), e in zip(part, self.whole.encode_batch([x for _, x in part], add_special_tokens=False), strict=True):
@@ -113,14 +109,28 @@ class WordTokenizer:
         at = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)
         return flat[at], ends[offsets]
 
-    def _learn(self, pieces: Collection[list[str]]) -> None:
-        new = self.pieces.ask(chain.from_iterable(pieces))
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            e = self.model.encode(" ".join(part).encode().decode("latin-1").translate(self.letters | {32: " "}), add_special_tokens=False)
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right") * 4
-            ids = np.array(e.ids, "<u4").tobytes()
-            self.pieces.new.update(zip(part, (ids[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
+    def _by_piece(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of simple words: all are cut in one pass, and each piece is looked up once."""
+        spaced = _PIECE.sub(r"\g<0> ", "\n".join(words).lower())
+        pieces = spaced.split()
+        raw = np.frombuffer(spaced.encode(), np.uint8)
+        upto = np.append(np.searchsorted(np.flatnonzero(raw == 32), np.flatnonzero(raw == 10)), len(pieces))
+        self._learn(pieces)
+        ids = list(map(self.pieces.new.__getitem__, pieces))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])[upto].tolist()
+        flat = b"".join(ids)
+        return (flat[a:z] for a, z in zip([0, *ends], ends, strict=False))
+
+    def _learn(self, pieces: list[str]) -> None:
+        new = self.pieces.ask(list(set(pieces)))
+        for own, plain in ((list(filter(str.isascii, new)), True), (list(filterfalse(str.isascii, new)), False)):
+            for i in range(0, len(own), 1000):
+                part = own[i : i + 1000]
+                text = " ".join(part)
+                e = self.model.encode(text if plain else text.encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+                ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right") * 4
+                ids = np.array(e.ids, "<u4").tobytes()
+                self.pieces.new.update(zip(part, (ids[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
