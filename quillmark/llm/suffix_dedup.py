@@ -39,7 +39,7 @@ BLOCK_BYTES = 16 << 20
 RANGES_PER_BLOCK = 4
 HOT_SEGMENTS = 4096
 #: Bytes of segments whose transforms are merged at once, but for a key that has more.
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 18
 FIRST = np.iinfo(np.int64).min
 ONCE, REPEATED, HOT = range(3)
 ALL = np.uint64(2**64 - 1)
