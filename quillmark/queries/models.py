@@ -13,6 +13,7 @@ from quillmark.operators import vocabulary as V
 from quillmark.plans import analyze as AN
 from quillmark.plans import cases as K
 from quillmark.plans import registry as R
+from quillmark.plans import verification as VF
 from quillmark.queries.registry import query, works
 from quillmark.queries.vocabulary import REL, STATS, parts, units
 
@@ -191,3 +192,9 @@ def analyze(spark, d):
 @query()
 def model_registry(spark, d):
     return spark.createDataFrame([(m.key, m.pattern, m.needs_works, m.deployable, m.confirmatory) for m in R.MODELS], "key string, pattern string, needs_works boolean, deployable boolean, confirmatory boolean")
+
+
+@query()
+def verification_features(spark, d):
+    rows = works(spark, d)
+    return VF.pair_features(rows, VF.pairs(rows)).withColumns({c: F.round(c, 6) for c in VF.PAIR})
