@@ -97,14 +97,14 @@ class Model:
 
 
 MODELS = (
-    Model("stylo", "stylo", needs_works=True, deployable=True, confirmatory=True, calibrated=True),
+    Model("style", "style", needs_works=True, deployable=True, confirmatory=True, calibrated=True),
     Model("delta", r"delta:([1-9][0-9]*)", needs_works=True, deployable=True, confirmatory=True),
     Model("delta_cos", r"delta_cos:([1-9][0-9]*)", needs_works=True, confirmatory=True),
     Model("char_cos", "char_cos", needs_works=True, confirmatory=True),
     Model("bow_lr", "bow_lr", needs_works=True, confirmatory=True, calibrated=True),
     Model("majority", "majority", confirmatory=True),
-    Model("stylo_stack", "stylo_stack", needs_works=True),
-    Model("stylo_equal_channels_v1", "stylo_equal_channels_v1", needs_works=True),
+    Model("style_stack", "style_stack", needs_works=True),
+    Model("style_equal_channels", "style_equal_channels", needs_works=True),
     Model("bow_lr_ref_legacy", "bow_lr_ref_legacy", reference_only=True, weightings=("work_balanced",)),
 )
 
