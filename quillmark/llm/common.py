@@ -42,6 +42,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
             for part in _slices(b):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()  # workers outlive a stage: what it held is given back
 
     return df.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ _PLACEHOLDER = {NUMBER: b"\x00number", UNIT: b"\x00unit", NAME: b"\x00name"}
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 #: Words a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def word_class(raw: str) -> tuple[int, str, bool]:

@@ -160,6 +160,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         for c, v in zip(out, (doc, at, len(part) // 4, zlib.crc32(part), n, part), strict=False):
                             out[c].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
