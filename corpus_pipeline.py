@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (shingles of five words; a similarity that four differing bits of 64 stand for,
-    0.98 by estimate): the one with the smallest doc_id; one without a doc_id only where its group has no other."""
-    return simhash.drop_near_duplicates(docs, shingle=5, radius=4)
+    """One row of each group of near-duplicates (shingles of five words; a Jaccard similarity of 0.8 or more, or at most four
+    differing bits of 64): the one with the smallest doc_id; one without a doc_id only where its group has no other."""
+    return simhash.drop_near_duplicates(docs, shingle=5, radius=4, similarity=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,18 +34,23 @@ WIDTH = 64
 BUCKET_ENTRIES = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """A bit is set if it is set in over half of the XXH64 values of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 values of the word shingles in order, repeats included; of all words where they are fewer than a shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """A bit is set if it is set in over half of the XXH64 values of the word shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(WIDTH, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -189,25 +194,30 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, component_id (the smallest id reachable over links of at most `radius` differing bits)."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """id, fp, component_id (the smallest id reachable over links of at most `radius` differing bits, and over the links `more`
+    of fingerprints u > v)."""
     prints = cut(fingerprints(docs, shingle, id_col, text_col))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     some = cut(partnered(nodes, nodes.count(), radius))
-    stars = components(links(some, some.count(), radius))
+    found = links(some, some.count(), radius)
+    stars = components(found if more is None else found.union(more).distinct())
     rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the first by id, then by a hash of the text; rows without an id come last. Texts are shuffled
-    once, by that key."""
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """One row of each component, the first by id, then by a hash of the text; rows without an id come last. Linked are texts
+    within the radius, and texts whose sets of shingles have at least the Jaccard similarity (see shingles). Texts are shuffled
+    by that key, once to fetch those to be compared and once to drop."""
+    from quillmark.llm import shingles
+
     names = docs.columns
     key = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"))
     keyed = docs.withColumn("_key", key)
-    groups = near_duplicates(keyed, shingle, radius, "_key", text_col)
+    groups = near_duplicates(keyed, shingle, radius, "_key", text_col, shingles.similar(keyed, shingle, similarity, "_key", text_col))
     chosen = groups.where("_key = component_id").select("_key").distinct()
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(text_col))
     return keyed.join(chosen, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*names)
