@@ -6,6 +6,11 @@ the slots decide: within one document and item, equal values of the item must st
 different for different; windows that break this are dropped. What share of an item's words the remaining windows cover
 says whether the document holds the item, and whether any slot changed says if it holds it re-parameterised.
 
+Capitals and sentence ends decide what a name is, so a copy in capitals, in title case or without punctuation has another
+template. Where the template's windows do not report an item, windows of its words without case and punctuation are added: equal
+ones are verbatim, whatever the words' classes. A copy that differs in case and whose slots changed too is found as far as its
+windows of either kind reach.
+
 Scale: documents are read once for every block of items, without a shuffle. A block has at most `block_words` words of
 items (hashes and words, some 100 MB at most), so what is broadcast is bounded whatever the number of items; one block
 holds a few million items' windows.
@@ -35,6 +40,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec min
 LITERAL, NUMBER, UNIT, CAPITAL, NAME = range(5)
 _PLACEHOLDER = {NUMBER: b"\x00number", UNIT: b"\x00unit", NAME: b"\x00name"}
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
+_MARKS = re.compile(r"\W+")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 #: Words a Python worker keeps; beyond that it starts anew.
 CACHED_WORDS = 200_000
@@ -53,11 +59,13 @@ def word_class(raw: str) -> tuple[int, str, bool]:
 
 
 class Lexicon:
-    """Numbers for raw words, with their literal hash, class and sentence end, as arrays to index with."""
+    """Numbers for raw words, with their literal hash, class and sentence end, as arrays to index with; `plain` is the hash without
+    case and punctuation, 0 where nothing is left."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.hash, self.kind, self.ends, self.bare = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), []
+        self.plain = np.zeros(0, np.uint64)
 
     def codes(self, distinct: list[bytes]) -> np.ndarray:
         """The number of each of some distinct words."""
@@ -72,6 +80,8 @@ class Lexicon:
             self.kind = np.concatenate([self.kind, np.array([k for k, _, _ in found], np.int8)])
             self.ends = np.concatenate([self.ends, np.array([e for _, _, e in found], bool)])
             self.bare += [low for _, low, _ in found]
+            plain = [_MARKS.sub("", w.decode("utf-8", "replace").casefold()) for w in new]
+            self.plain = np.concatenate([self.plain, np.array([xxhash.xxh64_intdigest(p.encode()) if p else 0 for p in plain], np.uint64)])
         return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
 
     def template(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +124,9 @@ class Block:
     def __init__(self, items: list[tuple[int, str]], width: int, least_words: int) -> None:
         self.items: list[Item] = []
         found: dict[int, list[tuple[int, int, int]]] = {}
+        plain: dict[int, list[tuple[int, int, int]]] = {}
+        #: The places of each item's words that are more than punctuation.
+        self.worded: list[list[int]] = []
         lexicon = Lexicon()
         for item_id, text in items:
             words = text.encode().split()
@@ -127,18 +140,29 @@ class Block:
             number = len(self.items)
             self.items.append(Item(item_id, kind.tolist(), [lexicon.bare[c] for c in codes]))
             found.setdefault(w, []).extend((int(h), number, i) for i, (h, n) in enumerate(zip(windows(value, w), literals(kind, w), strict=True)) if 2 * n >= w)
-        self.tables = {}
+            own = lexicon.plain[codes]
+            worded = np.flatnonzero(own)
+            self.worded.append(worded.tolist())
+            if len(worded) >= least_words:
+                w = min(width, len(worded))
+                plain.setdefault(w, []).extend((int(h), number, i) for i, h in enumerate(windows(own[worded], w)))
+        self.tables, self.plain = self._sorted(found), self._sorted(plain)
+
+    @staticmethod
+    def _sorted(found: dict[int, list[tuple[int, int, int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        tables = {}
         for w, rows in found.items():
             rows.sort()
             hashes = np.array([r[0] for r in rows], np.uint64)
             sieve = np.zeros(1 << 22, bool)
             sieve[hashes & np.uint64((1 << 22) - 1)] = True
-            self.tables[w] = (hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.packbits(sieve))
+            tables[w] = (hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.packbits(sieve))
+        return tables
 
-    def hits(self, value: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def hits(self, value: np.ndarray, first: np.ndarray, tables: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """width, then position, item and place in it of every pair of equal windows; none reaches over the start of a text."""
         starts = np.flatnonzero(first)
-        for w, (hashes, item, place, sieve) in self.tables.items():
+        for w, (hashes, item, place, sieve) in tables.items():
             h = windows(value, w)
             low = (h & np.uint64((1 << 22) - 1)).astype(np.int64)
             at = np.flatnonzero(sieve[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
@@ -150,8 +174,14 @@ class Block:
 
 
 def consistent(item: Item, hits: list[tuple[int, int, int]], words: list[str]) -> tuple[set[int], int, int, int]:
-    """hits: width, position in the document, place in the item. The covered places of the item, the windows that remain, the
-    slots they have, and how many of those changed. Diagonals (same shift) with most windows bind their slots first."""
+    """The covered places of the item, the windows that remain, the slots they have, and how many of those changed."""
+    covered, kept, slots = remaining(item, hits, words)
+    return covered, len(kept), len(slots), sum(slots.values())
+
+
+def remaining(item: Item, hits: list[tuple[int, int, int]], words: list[str]) -> tuple[set[int], list[tuple[int, int]], dict[int, bool]]:
+    """hits: width, position in the document, place in the item. The covered places of the item, position and place of the windows
+    that remain, and of each of their slots whether it changed. Diagonals (same shift) with most windows bind their slots first."""
     by: dict[int, list[tuple[int, int, int]]] = {}
     for h in hits:
         by.setdefault(h[1] - h[2], []).append(h)
@@ -159,9 +189,9 @@ def consistent(item: Item, hits: list[tuple[int, int, int]], words: list[str]) -
     back: dict[tuple[int, str], str] = {}
     covered: set[int] = set()
     slots: dict[int, bool] = {}
-    kept = 0
+    kept: list[tuple[int, int]] = []
     for shift in sorted(by, key=lambda s: (-len(by[s]), s)):
-        for w, _, place in sorted(by[shift], key=lambda h: h[2]):
+        for w, at, place in sorted(by[shift], key=lambda h: h[2]):
             found = [(p, (item.kinds[p], item.bare[p]), (item.kinds[p], words[p + shift])) for p in range(place, place + w) if item.kinds[p] != LITERAL]
             if any(there.get(a, b[1]) != b[1] or back.get(b, a[1]) != a[1] for _, a, b in found):
                 continue
@@ -169,15 +199,15 @@ def consistent(item: Item, hits: list[tuple[int, int, int]], words: list[str]) -
                 there[a], back[b] = b[1], a[1]
                 slots[p] = slots.get(p, False) or a != b
             covered.update(range(place, place + w))
-            kept += 1
-    return covered, kept, len(slots), sum(slots.values())
+            kept.append((at, place))
+    return covered, kept, slots
 
 
 def leaks(texts: list[str | None] | pa.Array, block: Block, lexicon: Lexicon, least_cover: float) -> list[list[dict]]:
     """For each text the items it holds."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     inner, distinct, offsets = split_words(texts)
-    if not len(inner) or not block.tables:
+    if not len(inner) or not (block.tables or block.plain):
         return out
     codes = lexicon.codes(distinct)[inner]
     ends, sizes = offsets[1:], np.diff(offsets)
@@ -185,16 +215,33 @@ def leaks(texts: list[str | None] | pa.Array, block: Block, lexicon: Lexicon, le
     first[(ends - sizes)[sizes > 0]] = True
     value, _ = lexicon.template(codes, first)
     by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for w, at, item, place in block.hits(value, first):
+    for w, at, item, place in block.hits(value, first, block.tables):
         owner = np.searchsorted(ends, at, "right")
         for d, i, p, q in zip(owner.tolist(), item.tolist(), at.tolist(), place.tolist(), strict=True):
             by.setdefault((d, i), []).append((w, p - int(ends[d] - sizes[d]), q))
-    for (d, i), hits in sorted(by.items()):
-        item, a = block.items[i], int(ends[d] - sizes[d])
+    plain: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    own = lexicon.plain[codes]
+    worded = np.flatnonzero(own)
+    owners = np.searchsorted(ends, worded, "right")
+    for w, at, item, place in block.hits(own[worded], np.diff(owners, prepend=-1) > 0, block.plain):
+        for d, i, p, q in zip(owners[at].tolist(), item.tolist(), worded[at].tolist(), place.tolist(), strict=True):
+            plain.setdefault((d, i), []).append((w, p - int(ends[d] - sizes[d]), q))
+    for d, i in sorted(by.keys() | plain.keys()):
+        item, a, hits = block.items[i], int(ends[d] - sizes[d]), by.get((d, i), [])
         used = {p + j for w, p, _ in hits for j in range(w)}
-        covered, kept, slots, changed = consistent(item, hits, {p: lexicon.bare[codes[a + p]] for p in used})
+        covered, kept, slots = remaining(item, hits, {p: lexicon.bare[codes[a + p]] for p in used})
+        if len(covered) < least_cover * len(item.kinds):
+            known, places = set(kept), block.worded[i]
+            for w, p, q in plain.get((d, i), []):
+                own_places = range(places[q], places[q + w - 1] + 1)
+                covered.update(own_places)
+                known.add((p, places[q]))
+                for x in own_places:
+                    if item.kinds[x] != LITERAL:
+                        slots.setdefault(x, False)
+            kept = list(known)
         if len(covered) >= least_cover * len(item.kinds):
-            out[d].append({"item_id": item.item_id, "coverage": len(covered) / len(item.kinds), "n_windows": kept, "n_slots": slots, "n_changed": changed})
+            out[d].append({"item_id": item.item_id, "coverage": len(covered) / len(item.kinds), "n_windows": len(kept), "n_slots": len(slots), "n_changed": sum(slots.values())})
     return out
 
 
