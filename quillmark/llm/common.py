@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,11 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local one in a session of one JVM (as in
+    tests), an error on a cluster."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmark-"))
+    return named or sc.getCheckpointDir()
+
+
+def open_store(uri: str):
+    """File system and path for a folder's name as Spark writes it."""
+    from pyarrow import fs
+
+    if re.match(r"file:/+", uri):
+        uri = re.sub(r"^file:/+", "/", uri)
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,36 +98,55 @@ def split_words(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, list[by
     return codes, words, offsets
 
 
+#: Where a block lies: a range of bytes of a file in the shared folder.
+BLOCK = "block long, path string, start long, size long"
+
+
 def pack_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """block, payload: rows in their order as compressed Arrow streams of about `block_bytes` each (a larger row is a block of
-    its own). Block numbers hold from attempt to attempt only once the result is checkpointed."""
+    """BLOCK: rows in their order as compressed Arrow streams of about `block_bytes` each (a larger row is a block of its own), a
+    file for each task in the shared folder. Each attempt writes a file of its own, and the checkpointed result names those of
+    the attempts that succeeded; so blocks are written once, outlive executors, and later steps move their names alone."""
+    folder = f"{shared_dir(rows.sparkSession)}/blocks-{uuid.uuid4()}"
+    store, path = open_store(folder)
+    store.create_dir(path, recursive=True)
+    schema = pa.schema([("block", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, n = [], 0, 0
+        name, out, held, size, made = f"{uuid.uuid4()}.arrows", None, [], 0, []
 
-        def out() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        def flush() -> None:
+            nonlocal out
+            if out is None:
+                store, top = open_store(folder)
+                out = store.open_output_stream(f"{top}/{name}", compression=None)
+            start = out.tell()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 for b in held:
                     writer.write_batch(b)
-            return pa.RecordBatch.from_pydict({"block": pa.array([(TaskContext.get().partitionId() << 32) + n], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            made.append(((TaskContext.get().partitionId() << 32) + len(made), f"{folder}/{name}", start, out.tell() - start))
 
         for batch in batches:
             for b in _slices(batch, block_bytes // 4):
                 held.append(b)
                 size += b.nbytes
                 if size >= block_bytes:
-                    yield out()
-                    held, size, n = [], 0, n + 1
+                    flush()
+                    held, size = [], 0
         if held:
-            yield out()
+            flush()
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "block long, payload binary")
+    return cut(rows.mapInArrow(run, BLOCK))
 
 
-def block_parts(payload: bytes) -> Iterator[pa.RecordBatch]:
+def block_parts(path: str, start: int, size: int) -> Iterator[pa.RecordBatch]:
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        payload = f.read_at(size, start)
     with pa.ipc.open_stream(payload) as reader:
         yield from reader
 

@@ -1,24 +1,32 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model: n-grams of lower-cased words (A-Z only) and an end token, which also stands before a text. Unigrams are smoothed by
-adding a half; every higher order adds `strength` tokens shared out as the lower order says. So the n-grams that occur are
-arcs, and a state whose arcs lack the next word leaves over its failure arc: weight strength / (count of the state +
-strength), to the state of one word less. The state before a word is the longest context that occurs, so one traversal from
-left to right needs each word's n-grams and nothing else; `traverse` takes it for all words of a block at once, order by order,
-and the tests take it word by word.
-
-Scale: texts are packed into compressed blocks of bounded size, written once. Each block counts its own distinct n-grams
-and sends them, sorted and packed, to hash ranges; a range adds up the counts of all blocks and answers each block in the
-order in which it asked. So a block gets exactly the part of the automaton it can reach, what is shuffled are distinct
-n-grams by block and not tokens, and no table of n-grams is ever whole in one place. Ranges grow in number with the blocks.
+adding a half; every higher order adds its `strength` tokens, shared out as the lower order says. So an n-gram that occurs is
+an arc, its weight the whole smoothed probability; a state is a context that occurs, and where it has no arc for the next
+word it is left over its failure arc: weight strength / (count of the state + strength), to the state of one word less.
+
+`Automaton` is that machine, for what a block of texts can reach: states, arcs in a hash table by (state, word), failure arcs.
+A text is traversed once from left to right; what is carried is the state, what is accumulated are log weights. Many texts
+walk side by side, each in a lane; a long text walks in pieces, each led in by the few words before it, after which its state is
+what it would be (it depends on no more words than a state has).
+
+Scale: texts are packed into compressed blocks of bounded size, written once to the shared folder; later steps move their
+names. Each block counts its own distinct n-grams and sends them, sorted and packed, to hash ranges, one message for each
+range; a range adds up the counts of all blocks and answers each block in the order in which it asked. So a block gets exactly
+the part of the model it can reach, what is shuffled are distinct n-grams by block and not tokens, and no table of n-grams is
+ever whole in one place. There are as many ranges as blocks (the next power of two), each with some 3M n-grams. Messages grow
+with the square of the blocks, their bytes in proportion to the input: at 30 GB of Parquet a message still has hundreds of
+n-grams; beyond, raise `block_bytes` with the square root of the input (a block takes some 25 times its bytes of memory).
 N-grams are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts are an end token alone; a null id counts as the empty text for the fold; repeated rows
-count and are scored each; an empty table gives an empty result; other columns are ignored.
+count and are scored each; a very long text is a block of its own, so memory grows with the longest text; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +40,10 @@ from quillmark.llm.common import block_parts, cut, hash_ranges, pack_blocks, pla
 
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 8 << 20
-#: Hash ranges for each block: a block of 8 MB has up to some 2M distinct n-grams of two orders.
-RANGES_PER_BLOCK = 2
+#: Words that a lane of the traversal has at most.
+LANE = 512
+#: For each order above one, the tokens that the lower order is given: the best of a few for held-out texts that occur once.
+STRENGTH = (300.0, 10.0)
 CACHED_WORDS = 250_000
 END = xxhash.xxh64_intdigest(b" end")  # no word has a space
 
@@ -99,51 +109,142 @@ def mixed(before: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Grams:
+    """The n-grams of one order in a block: `of` each position the number of the n-gram that ends there (-1: none), and for each
+    n-gram the last position at which it ends and its training count."""
+
+    of: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """The part of the model that a block reaches. counts[n-1] and, for n > 1, states[n-1]: by position, how often the n-gram
-    that ends there occurs in training, and how often the context before its last word does."""
-
-    counts: list[tuple[np.ndarray, np.ndarray]]
-    tokens: int
-    types: int
-    strength: float
-
-    def unigram(self) -> np.ndarray:
-        return (self.counts[0][1] + 0.5) / (self.tokens + 0.5 * (self.types + 1))
-
-    def traverse(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """Probability of each token. Where an arc is missing its count is 0 and what remains is the failure arc's weight."""
-        p = self.unigram()
-        for (at, count), state in zip(self.counts[1:], contexts, strict=True):
-            p[at] = (count + self.strength * p[at]) / (state + self.strength)
-        return p
-
-
-def contexts(tokens: Tokens, counts: list[tuple[np.ndarray, np.ndarray]], texts: int) -> list[np.ndarray]:
-    """For each order above one, the count of the context before each n-gram's last word; texts: training texts, which is how
-    often the token before a text occurs."""
-    out = []
-    for n in range(2, len(counts) + 1):
-        at = counts[n - 1][0]
-        below = np.zeros(len(tokens.word), np.int64)
-        below[counts[n - 2][0]] = counts[n - 2][1]
-        state = below[at - 1]
-        if n == 2:
-            state[tokens.first] = texts
-        out.append(state)
-    return out
-
-
-def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """block, payload: id, held_out, text of some rows."""
-    return pack_blocks(docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")), BLOCK_BYTES)
-
-
-def _block(payload: bytes, hashes: Words) -> tuple[list, np.ndarray, Tokens]:
+    """State 0 knows no word. fail, leave: the failure arc of each state and its log weight (of state 0: the log weight of a
+    word without an arc, which ends there). Arcs lie in a hash table: key (0: free), next state, log weight."""
+
+    words: int
+    first: int
+    fail: np.ndarray
+    leave: np.ndarray
+    key: np.ndarray
+    to: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(grams: list[Grams], first: np.ndarray, tokens: int, types: int, strength: tuple[float, ...]) -> Automaton:
+        """grams: by order; first: where texts start; tokens, types: sums over all training texts."""
+        order, words = len(grams), len(grams[0].count)
+        starts = np.zeros(len(grams[0].of), bool)
+        starts[first] = True
+        end = grams[0].of[first[0] - 1]  # the last position has an end, which also stands before a text
+        state = [np.zeros(0, np.int64)] * order
+        fail, leave = [np.zeros(1, np.int64)], [np.log10([0.5 / (tokens + 0.5 * (types + 1))])]
+        keys, to, weight = [], [], []
+        n_states = 1
+        lower = np.zeros(0)
+        for n, g in enumerate(grams, 1):
+            seen = np.flatnonzero(g.count > 0)
+            at, count = g.at[seen], g.count[seen]
+            p = np.zeros(len(g.count))
+            if n == 1:
+                p[seen] = (count + 0.5) / (tokens + 0.5 * (types + 1))
+                source, shorter = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+            else:
+                below = grams[n - 2]
+                context = np.where(starts[at], end, below.of[at - 1]) if n == 2 else below.of[at - 1]
+                source, suffix = state[n - 2][context], below.of[at]
+                p[seen] = (count + strength[n - 2] * lower[suffix]) / (below.count[context] + strength[n - 2])
+                shorter = state[n - 2][suffix]
+            target = shorter
+            if n < order:
+                state[n - 1] = np.full(len(g.count), -1)
+                target = state[n - 1][seen] = n_states + np.arange(len(seen))
+                n_states += len(seen)
+                fail.append(shorter)
+                leave.append(np.log10(strength[n - 1] / (count + strength[n - 1])))
+            keys.append(source * words + grams[0].of[at] + 1)
+            to.append(target)
+            weight.append(np.log10(p[seen]))
+            lower = p
+        key = np.concatenate(keys)
+        slot = _slots(key, len(key))
+        by = np.argsort(slot, kind="stable")
+        i = np.arange(len(key))
+        place = i + np.maximum.accumulate(slot[by] - i) if len(key) else i
+        size = max(2 * len(key), int(place[-1]) + 1 if len(key) else 0) + 2
+        table = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)]
+        for t, values in zip(table, (key, np.concatenate(to), np.concatenate(weight)), strict=True):
+            t[place] = values[by]
+        begin = state[0][end] if order > 1 and grams[0].count[end] else 0
+        return Automaton(words, int(begin), np.concatenate(fail), np.concatenate(leave), *table)
+
+    def arc(self, state: np.ndarray, word: np.ndarray, arcs: int) -> np.ndarray:
+        """The place of each arc in the table, or -1."""
+        key = state * self.words + word + 1
+        place = _slots(key, arcs)
+        there = self.key[place]
+        found = np.where(there == key, place, -1)
+        open_ = np.flatnonzero((there != key) & (there != 0))
+        while len(open_):
+            place[open_] += 1
+            there = self.key[place[open_]]
+            hit = there == key[open_]
+            found[open_[hit]] = place[open_[hit]]
+            open_ = open_[~hit & (there != 0)]
+        return found
+
+    def traverse(self, word: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """The log weight of each lane's words word[start : start + length], less that of the first `lead` of them. Lanes that
+        are led in start at state 0, others where texts start."""
+        arcs = int(np.count_nonzero(self.key))
+        by = np.argsort(-length, kind="stable")
+        start, length, lead = start[by], length[by], lead[by]
+        state = np.where(lead > 0, 0, self.first)
+        total = np.zeros(len(by))
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, "left"))
+            w = word[start[:live] + t]
+            cost, now, todo = np.zeros(live), state[:live], np.arange(live)
+            while len(todo):
+                found = self.arc(now[todo], w[todo], arcs)
+                has = found >= 0
+                stay, arc = todo[has], found[has]
+                cost[stay] += self.weight[arc]
+                left = todo[~has]
+                cost[left] += self.leave[now[left]]
+                todo = left[now[left] > 0]
+                now[left] = self.fail[now[left]]
+                now[stay] = self.to[arc]
+            total[:live] += np.where(lead[:live] > t, 0.0, cost)
+        out = np.empty(len(by))
+        out[by] = total
+        return out
+
+
+def _slots(key: np.ndarray, arcs: int) -> np.ndarray:
+    """Where the search for a key starts, in a table of twice the number of arcs."""
+    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(max(1, 2 * arcs))).astype(np.int64)
+
+
+def lanes(first: np.ndarray, total: int, order: int, most: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, length and lead of each lane, and the first lane of each text."""
+    sizes = np.diff(np.append(first, total))
+    n = -(-sizes // most)
+    ahead = np.cumsum(n) - n
+    nth = np.arange(n.sum()) - np.repeat(ahead, n)
+    start = np.repeat(first, n) + nth * most
+    length = np.minimum(np.repeat(first + sizes, n) - start, most)
+    lead = np.where(nth > 0, order - 1, 0)
+    return start - lead, length + lead, lead, ahead
+
+
+def _block(block: dict, hashes: Words) -> tuple[list, np.ndarray, Tokens]:
     """ids, held_out and tokens of a block, a part of it at a time."""
     ids, held, word, first, n = [], [], [], [], 0
-    for b in block_parts(payload):
+    for b in block_parts(block["path"], block["start"], block["size"]):
         t = Tokens.of(b.column(2), hashes)
         ids += b.column(0).to_pylist()
         held += b.column(1).to_pylist()
@@ -153,84 +254,97 @@ def _block(payload: bytes, hashes: Words) -> tuple[list, np.ndarray, Tokens]:
     return ids, np.array(held, bool), Tokens(np.concatenate(word), np.concatenate(first))
 
 
+ASKED = "range int, block long, payload binary"
+
+
 def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """range, block, part, payload: a block's distinct n-grams in each of 2^bits hash ranges, sorted, with training counts."""
-    schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+    """ASKED: a block's distinct n-grams of each order in each of 2^bits hash ranges, sorted, with training counts."""
+    schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for b in batches:
-            for row in range(b.num_rows):
-                _, held, tokens = _block(b.column(1)[row].as_py(), hashes)
+            for block in b.to_pylist():
+                _, held, tokens = _block(block, hashes)
                 train = ~np.repeat(held, np.diff(np.append(tokens.first, len(tokens.word))))
+                parts: dict[int, list[tuple[int, bytes, bytes]]] = {}
                 for n, (at, key) in enumerate(tokens.keys(order), 1):
                     distinct, inverse = np.unique(key, return_inverse=True)
                     counts = np.bincount(inverse[train[at]], minlength=len(distinct)).astype(np.uint32)
-                    full = list(hash_ranges(distinct, bits))
-                    payload = [_pair(planes(np.diff(distinct[a:z], prepend=np.uint64(0))), planes(counts[a:z])) for _, a, z in full]
-                    k = len(full)
-                    yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in full], pa.int32()), pa.array([b.column(0)[row].as_py()] * k, pa.int64()), pa.array([n] * k, pa.int32()), pa.array([z - a for _, a, z in full], pa.int64()), pa.array(payload, pa.binary())], schema=schema)
-
-    return blocks.mapInArrow(run, "range int, block long, part int, n long, payload binary")
+                    for r, a, z in hash_ranges(distinct, bits):
+                        parts.setdefault(r, []).append((n, planes(np.diff(distinct[a:z], prepend=np.uint64(0))), planes(counts[a:z])))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block["block"]] * len(parts), pa.int64()), pa.array(map(pickle.dumps, parts.values()), pa.binary())], schema=schema)
+            pa.default_memory_pool().release_unused()
 
+    return blocks.mapInArrow(run, ASKED)
 
-def _pair(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
 
-
-def answered(requests: DataFrame) -> DataFrame:
-    """block, part, range, payload: the counts over all blocks, in the order asked; tokens and types: what the range adds to the
-    training tokens and to the distinct ones, on one row of each range."""
+def answered(requests: DataFrame, order: int) -> DataFrame:
+    """block, range, payload: the counts over all blocks, by order, in the order asked; tokens and types: what the range adds to
+    the training tokens and to the distinct ones, on one row of each range."""
 
     def answer(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        keys, counts = [], []
-        for r in rows:
-            z = 8 + int.from_bytes(r["payload"][:8], "little")
-            keys.append(np.cumsum(unplaned(r["payload"][8:z], np.uint64), dtype=np.uint64))
-            counts.append(unplaned(r["payload"][z:], np.uint32))
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
-        sizes = np.cumsum([len(k) for k in keys])[:-1]
-        out = [planes(total[i]) for i in np.split(inverse, sizes)]
-        first = rows[0]["part"] == 1
+        rows = [pickle.loads(p) for p in t.column("payload").to_pylist()]
+        out: list[list[tuple[int, bytes]]] = [[] for _ in rows]
+        tokens = types = 0
+        for n in range(1, order + 1):
+            own = [(i, k, c) for i, parts in enumerate(rows) for m, k, c in parts if m == n]
+            if not own:
+                continue
+            keys = [np.cumsum(unplaned(k, np.uint64), dtype=np.uint64) for _, k, _ in own]
+            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([unplaned(c, np.uint32) for _, _, c in own]), len(distinct)).astype(np.int64)
+            if n == 1:
+                tokens, types = int(total.sum()), int((total > 0).sum())
+            for (i, _, _), part in zip(own, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+                out[i].append((n, planes(total[part])))
         nothing = [0] * (len(rows) - 1)
-        return pa.table({"block": [r["block"] for r in rows], "part": pa.array([r["part"] for r in rows], pa.int32()), "range": pa.array([r["range"] for r in rows], pa.int32()), "payload": pa.array(out, pa.binary()), "tokens": [int(total.sum()) * first, *nothing], "types": [int((total > 0).sum()) * first, *nothing]})
+        return pa.table({"block": t.column("block"), "range": t.column("range"), "payload": pa.array(map(pickle.dumps, out), pa.binary()), "tokens": [tokens, *nothing], "types": [types, *nothing]})
 
-    return requests.groupBy("part", "range").applyInArrow(answer, "block long, part int, range int, payload binary, tokens long, types long")
+    return requests.groupBy("range").applyInArrow(answer, "block long, range int, payload binary, tokens long, types long")
 
 
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = 2, strength: float = 300.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, strength: float | tuple[float, ...] = STRENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """id, SCORES: log10 probabilities of whole texts under the smoothed unigrams and under the automaton."""
     kind = dict(docs.dtypes)[id_col]
-    blocks = cut(pack(docs, id_col, text_col))
-    bits = max(0, (blocks.count() * RANGES_PER_BLOCK - 1).bit_length())
-    answers = cut(answered(asked(blocks, order, bits)))
+    strength = tuple(strength) if isinstance(strength, tuple) else (float(strength),) * (order - 1)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    blocks = pack_blocks(rows, block_bytes or BLOCK_BYTES)
+    bits = max(0, (blocks.count() - 1).bit_length())
+    answers = cut(answered(asked(blocks, order, bits), order))
     tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    texts = docs.where(~held_out(id_col)).count()
-    gathered = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "range", "payload"))).alias("answers"))
+    gathered = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "payload"))).alias("answers"))
     arrow = pa.schema([("id", _arrow_type(docs, id_col)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for b in batches:
-            for row in range(b.num_rows):
-                ids, held, own = _block(b.column(1)[row].as_py(), hashes)
-                got = b.column(2)[row].as_py()
-                counts = []
+            for r in range(b.num_rows):
+                block = b.slice(r, 1).to_pylist()[0]
+                ids, held, own = _block(block, hashes)
+                told: dict[int, list[np.ndarray]] = {}
+                for a in block.pop("answers"):
+                    for n, total in pickle.loads(a["payload"]):
+                        told.setdefault(n, []).append(unplaned(total, np.int64))
+                grams = []
                 for n, (at, key) in enumerate(own.keys(order), 1):
-                    total = [unplaned(a["payload"], np.int64) for a in got if a["part"] == n]
-                    counts.append((at, np.concatenate(total)[np.unique(key, return_inverse=True)[1]] if total else np.zeros(0, np.int64)))
-                automaton = Automaton(counts, tokens, types, strength)
-                base = np.log10(automaton.unigram())
-                full = np.log10(automaton.traverse(contexts(own, counts, texts)))
+                    distinct, inverse = np.unique(key, return_inverse=True)
+                    of, last = np.full(len(own.word), -1), np.zeros(len(distinct), np.int64)
+                    of[at], last[inverse] = inverse, at
+                    grams.append(Grams(of, last, np.concatenate(told.pop(n)) if n in told else np.zeros(0, np.int64)))
+                automaton = Automaton.of(grams, own.first, tokens, types, strength)
+                known = grams[0].count[grams[0].of]
+                start, length, lead, ahead = lanes(own.first, len(own.word), order)
+                full = np.add.reduceat(automaton.traverse(grams[0].of, start, length, lead), ahead)
+                base = own.per_text(np.log10((known + 0.5) / (tokens + 0.5 * (types + 1))))
                 sizes = np.diff(np.append(own.first, len(own.word)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field("id").type), pa.array(held), pa.array(sizes), pa.array(own.per_text((counts[0][1] > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(own.per_text(base)), pa.array(own.per_text(full))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field("id").type), pa.array(held), pa.array(sizes), pa.array(own.per_text((known > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(full)], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
-    return blocks.join(gathered, "block").select("block", "payload", "answers").mapInArrow(run, f"id {kind}, {SCORES}").withColumnRenamed("id", id_col)
+    return blocks.join(gathered, "block").select("block", "path", "start", "size", "answers").mapInArrow(run, f"id {kind}, {SCORES}").withColumnRenamed("id", id_col)
 
 
 def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:

@@ -107,7 +107,7 @@ FROM b
 
 @query
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm.score(table(spark, sf_dir, "documents"), order=2)
+    out = lm.score(table(spark, sf_dir, "documents"), order=3, strength=(300.0, 10.0))
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
@@ -118,16 +118,20 @@ WITH folds AS (
       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 5 = 1 AS held_out
   FROM documents),
 words AS (SELECT row, doc_id, held_out, list_append(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), ' end') AS w FROM folds),
-tokens AS (SELECT row, doc_id, held_out, unnest(list_prepend(' end', w)[:-2]) AS before, unnest(w) AS word FROM words),
+tokens AS (SELECT row, doc_id, held_out, unnest(list_prepend(NULL, list_prepend(' end', w)[:-3])) AS earlier, unnest(list_prepend(' end', w)[:-2]) AS before, unnest(w) AS word FROM words),
 uni AS (SELECT word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
 bi AS (SELECT before, word, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY before, word),
+tri AS (SELECT earlier, before, word, count(*) AS c FROM tokens WHERE NOT held_out AND earlier IS NOT NULL GROUP BY earlier, before, word),
 sums AS (SELECT sum(c) AS n, count(*) AS v FROM uni),
 scored AS (
-  SELECT t.row, t.doc_id, t.held_out, u.c, (coalesce(u.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)) AS p, coalesce(b.c, 0) AS pair, coalesce(h.c, 0) AS state, s.n
-  FROM tokens t CROSS JOIN sums s LEFT JOIN uni u ON t.word = u.word LEFT JOIN uni h ON t.before = h.word LEFT JOIN bi b ON t.before = b.before AND t.word = b.word)
+  SELECT t.row, t.doc_id, t.held_out, u.c, (coalesce(u.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)) AS p, coalesce(b.c, 0) AS pair, coalesce(h.c, 0) AS state,
+    t.earlier IS NOT NULL AS inner_word, coalesce(x.c, 0) AS triple, coalesce(g.c, 0) AS longer, s.n
+  FROM tokens t CROSS JOIN sums s LEFT JOIN uni u ON t.word = u.word LEFT JOIN uni h ON t.before = h.word LEFT JOIN bi b ON t.before = b.before AND t.word = b.word
+    LEFT JOIN bi g ON t.earlier = g.before AND t.before = g.word LEFT JOIN tri x ON t.earlier = x.earlier AND t.before = x.before AND t.word = x.word),
+pairs AS (SELECT *, (pair + 300.0::DOUBLE * p) / (state + 300.0::DOUBLE) AS q FROM scored)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
-  round(sum(log10(p::DOUBLE)), 6) AS base_score, round(sum(log10((pair + 300.0::DOUBLE * p) / (state + 300.0::DOUBLE))), 6) AS score
-FROM scored GROUP BY row, doc_id, held_out
+  round(sum(log10(p::DOUBLE)), 6) AS base_score, round(sum(log10(CASE WHEN inner_word THEN (triple + 10.0::DOUBLE * q) / (longer + 10.0::DOUBLE) ELSE q END)), 6) AS score
+FROM pairs GROUP BY row, doc_id, held_out
 """
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,22 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import _arrow_schema, cut, shared_dir
+from quillmark.llm.common import _arrow_schema, cut, open_store, shared_dir
 
 CHUNK = 1 << 20
 ID = "urn:x-page:"
 EMPTY = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 
-def open_store(uri: str):
-    """File system and path for a folder's name as Spark writes it."""
-    from pyarrow import fs
-
-    if re.match(r"file:/+", uri):
-        uri = re.sub(r"^file:/+", "/", uri)
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
-
-
 def record_table(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """page_id, url, payload_bytes, sha1, refers_to, chunk_no, last, chunk: the chunks of a record adjoin, in order."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
