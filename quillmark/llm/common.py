@@ -122,7 +122,7 @@ def pack_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
                 store, top = open_store(folder)
                 out = store.open_output_stream(f"{top}/{name}", compression=None)
             start = out.tell()
-            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
                 for b in held:
                     writer.write_batch(b)
             made.append(((TaskContext.get().partitionId() << 32) + len(made), f"{folder}/{name}", start, out.tell() - start))

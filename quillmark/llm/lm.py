@@ -17,7 +17,7 @@ the part of the model it can reach, what is shuffled are distinct n-grams by blo
 ever whole in one place. There are as many ranges as blocks (the next power of two), each with some 3M n-grams. Messages grow
 with the square of the blocks, their bytes in proportion to the input: at 30 GB of Parquet a message still has hundreds of
 n-grams; beyond, raise `block_bytes` with the square root of the input (a block takes some 25 times its bytes of memory).
-N-grams are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, longer n-grams by as many bits as `key_bits` says.
 
 Defined cases: null and empty texts are an end token alone; a null id counts as the empty text for the fold; repeated rows
 count and are scored each; a very long text is a block of its own, so memory grows with the longest text; an empty table gives
@@ -87,19 +87,26 @@ class Tokens:
     def per_text(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.first)
 
-    def keys(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order the positions at which an n-gram ends, and its key. Before a text stands one end token."""
+    def keys(self, order: int, bits: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order the positions at which an n-gram ends, and its key: the upper `bits` of a hash, but for words, which
+        have all of it. Before a text stands one end token."""
         at = np.arange(len(self.word))
-        out, key = [(at, self.word)], self.word
+        yield at, self.word
+        mask, key = np.uint64((1 << 64) - (1 << (64 - bits))), self.word
         since = at - np.repeat(self.first, np.diff(np.append(self.first, len(at))))
         for n in range(2, order + 1):
             before = np.concatenate([key[:1], key[:-1]])
             if n == 2:
                 before[self.first] = END
             key = mixed(before, self.word, n)
-            keep = since >= n - 2
-            out.append((at[keep], key[keep]))
-        return out
+            keep = np.flatnonzero(since >= n - 2)
+            yield keep, key[keep] & mask
+
+
+def key_bits(blocks: int, block_bytes: int) -> int:
+    """Bits of an n-gram's key: 24 more than the corpus can have words (a word in four bytes), so that one n-gram in 2^24 has its
+    key in common with another, whatever the size of the corpus."""
+    return min(64, 24 + max(1, blocks * block_bytes // 4).bit_length())
 
 
 def mixed(before: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
@@ -122,7 +129,8 @@ class Grams:
 @dataclass(frozen=True)
 class Automaton:
     """State 0 knows no word. fail, leave: the failure arc of each state and its log weight (of state 0: the log weight of a
-    word without an arc, which ends there). Arcs lie in a hash table: key (0: free), next state, log weight."""
+    word without an arc, which ends there). key, to, weight: (state, word), next state and log weight of each arc; table: a hash
+    table of their numbers (-1: free)."""
 
     words: int
     first: int
@@ -131,6 +139,7 @@ class Automaton:
     key: np.ndarray
     to: np.ndarray
     weight: np.ndarray
+    table: np.ndarray
 
     @staticmethod
     def of(grams: list[Grams], first: np.ndarray, tokens: int, types: int, strength: tuple[float, ...]) -> Automaton:
@@ -139,8 +148,8 @@ class Automaton:
         starts = np.zeros(len(grams[0].of), bool)
         starts[first] = True
         end = grams[0].of[first[0] - 1]  # the last position has an end, which also stands before a text
-        state = [np.zeros(0, np.int64)] * order
-        fail, leave = [np.zeros(1, np.int64)], [np.log10([0.5 / (tokens + 0.5 * (types + 1))])]
+        state = [np.zeros(0, np.int32)] * order
+        fail, leave = [np.zeros(1, np.int32)], [np.log10([0.5 / (tokens + 0.5 * (types + 1))])]
         keys, to, weight = [], [], []
         n_states = 1
         lower = np.zeros(0)
@@ -150,7 +159,7 @@ class Automaton:
             p = np.zeros(len(g.count))
             if n == 1:
                 p[seen] = (count + 0.5) / (tokens + 0.5 * (types + 1))
-                source, shorter = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+                source = shorter = np.zeros(len(seen), np.int32)
             else:
                 below = grams[n - 2]
                 context = np.where(starts[at], end, below.of[at - 1]) if n == 2 else below.of[at - 1]
@@ -159,56 +168,54 @@ class Automaton:
                 shorter = state[n - 2][suffix]
             target = shorter
             if n < order:
-                state[n - 1] = np.full(len(g.count), -1)
-                target = state[n - 1][seen] = n_states + np.arange(len(seen))
+                state[n - 1] = np.full(len(g.count), -1, np.int32)
+                target = state[n - 1][seen] = n_states + np.arange(len(seen), dtype=np.int32)
                 n_states += len(seen)
                 fail.append(shorter)
                 leave.append(np.log10(strength[n - 1] / (count + strength[n - 1])))
-            keys.append(source * words + grams[0].of[at] + 1)
-            to.append(target)
+            keys.append(source.astype(np.int64) * words + grams[0].of[at])
+            to.append(target.astype(np.int32))
             weight.append(np.log10(p[seen]))
             lower = p
-        key = np.concatenate(keys)
+        key, to, weight = (np.concatenate(x) for x in (keys, to, weight))
+        del keys, lower, p
         slot = _slots(key, len(key))
-        by = np.argsort(slot, kind="stable")
-        i = np.arange(len(key))
-        place = i + np.maximum.accumulate(slot[by] - i) if len(key) else i
-        size = max(2 * len(key), int(place[-1]) + 1 if len(key) else 0) + 2
-        table = [np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)]
-        for t, values in zip(table, (key, np.concatenate(to), np.concatenate(weight)), strict=True):
-            t[place] = values[by]
+        by = np.argsort(slot)
+        slot = slot[by]
+        i = np.arange(len(key), dtype=np.int32)
+        place = np.maximum.accumulate(slot - i) + i
+        table = np.full(2 * len(key) + 2 + (max(0, int(place[-1]) - 2 * len(key)) if len(key) else 0), -1, np.int32)
+        table[place] = by
         begin = state[0][end] if order > 1 and grams[0].count[end] else 0
-        return Automaton(words, int(begin), np.concatenate(fail), np.concatenate(leave), *table)
-
-    def arc(self, state: np.ndarray, word: np.ndarray, arcs: int) -> np.ndarray:
-        """The place of each arc in the table, or -1."""
-        key = state * self.words + word + 1
-        place = _slots(key, arcs)
-        there = self.key[place]
-        found = np.where(there == key, place, -1)
-        open_ = np.flatnonzero((there != key) & (there != 0))
-        while len(open_):
-            place[open_] += 1
-            there = self.key[place[open_]]
-            hit = there == key[open_]
-            found[open_[hit]] = place[open_[hit]]
-            open_ = open_[~hit & (there != 0)]
-        return found
+        return Automaton(words, int(begin), np.concatenate(fail), np.concatenate(leave), key, to, weight, table)
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The number of each arc, or -1."""
+        key = state * self.words + word
+        if not len(self.key):
+            return np.full(len(key), -1)
+        place = _slots(key, len(self.key))
+        there = self.table[place]
+        todo = np.flatnonzero((self.key[there] != key) & (there >= 0))
+        while len(todo):
+            place[todo] += 1
+            there[todo] = now = self.table[place[todo]]
+            todo = todo[(self.key[now] != key[todo]) & (now >= 0)]
+        return there
 
     def traverse(self, word: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray) -> np.ndarray:
         """The log weight of each lane's words word[start : start + length], less that of the first `lead` of them. Lanes that
         are led in start at state 0, others where texts start."""
-        arcs = int(np.count_nonzero(self.key))
         by = np.argsort(-length, kind="stable")
         start, length, lead = start[by], length[by], lead[by]
-        state = np.where(lead > 0, 0, self.first)
+        state = np.where(lead > 0, 0, self.first).astype(np.int64)
         total = np.zeros(len(by))
         for t in range(int(length.max(initial=0))):
             live = int(np.searchsorted(-length, -t, "left"))
             w = word[start[:live] + t]
             cost, now, todo = np.zeros(live), state[:live], np.arange(live)
             while len(todo):
-                found = self.arc(now[todo], w[todo], arcs)
+                found = self.arc(now[todo], w[todo])
                 has = found >= 0
                 stay, arc = todo[has], found[has]
                 cost[stay] += self.weight[arc]
@@ -226,7 +233,7 @@ class Automaton:
 def _slots(key: np.ndarray, arcs: int) -> np.ndarray:
     """Where the search for a key starts, in a table of twice the number of arcs."""
     x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(max(1, 2 * arcs))).astype(np.int64)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(max(1, 2 * arcs))).astype(np.int32)
 
 
 def lanes(first: np.ndarray, total: int, order: int, most: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -257,8 +264,9 @@ def _block(block: dict, hashes: Words) -> tuple[list, np.ndarray, Tokens]:
 ASKED = "range int, block long, payload binary"
 
 
-def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """ASKED: a block's distinct n-grams of each order in each of 2^bits hash ranges, sorted, with training counts."""
+def asked(blocks: DataFrame, order: int, bits: int, wide: int = 64) -> DataFrame:
+    """ASKED: a block's distinct n-grams of each order in each of 2^bits hash ranges, sorted, with training counts; wide: the bits of
+    keys."""
     schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,7 @@ def asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                 _, held, tokens = _block(block, hashes)
                 train = ~np.repeat(held, np.diff(np.append(tokens.first, len(tokens.word))))
                 parts: dict[int, list[tuple[int, bytes, bytes]]] = {}
-                for n, (at, key) in enumerate(tokens.keys(order), 1):
+                for n, (at, key) in enumerate(tokens.keys(order, wide), 1):
                     distinct, inverse = np.unique(key, return_inverse=True)
                     counts = np.bincount(inverse[train[at]], minlength=len(distinct)).astype(np.uint32)
                     for r, a, z in hash_ranges(distinct, bits):
@@ -297,7 +305,7 @@ def answered(requests: DataFrame, order: int) -> DataFrame:
             if n == 1:
                 tokens, types = int(total.sum()), int((total > 0).sum())
             for (i, _, _), part in zip(own, np.split(inverse, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                out[i].append((n, planes(total[part])))
+                out[i].append((n, planes(total[part].astype(np.int64))))
         nothing = [0] * (len(rows) - 1)
         return pa.table({"block": t.column("block"), "range": t.column("range"), "payload": pa.array(map(pickle.dumps, out), pa.binary()), "tokens": [tokens, *nothing], "types": [types, *nothing]})
 
@@ -313,8 +321,9 @@ def score(docs: DataFrame, order: int = 3, strength: float | tuple[float, ...] =
     strength = tuple(strength) if isinstance(strength, tuple) else (float(strength),) * (order - 1)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     blocks = pack_blocks(rows, block_bytes or BLOCK_BYTES)
-    bits = max(0, (blocks.count() - 1).bit_length())
-    answers = cut(answered(asked(blocks, order, bits), order))
+    count = blocks.count()
+    bits, wide = max(0, (count - 1).bit_length()), key_bits(count, block_bytes or BLOCK_BYTES)
+    answers = cut(answered(asked(blocks, order, bits, wide), order))
     tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
     gathered = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "payload"))).alias("answers"))
     arrow = pa.schema([("id", _arrow_type(docs, id_col)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -330,15 +339,18 @@ def score(docs: DataFrame, order: int = 3, strength: float | tuple[float, ...] =
                     for n, total in pickle.loads(a["payload"]):
                         told.setdefault(n, []).append(unplaned(total, np.int64))
                 grams = []
-                for n, (at, key) in enumerate(own.keys(order), 1):
+                for n, (at, key) in enumerate(own.keys(order, wide), 1):
                     distinct, inverse = np.unique(key, return_inverse=True)
-                    of, last = np.full(len(own.word), -1), np.zeros(len(distinct), np.int64)
+                    of, last = np.full(len(own.word), -1, np.int32), np.zeros(len(distinct), np.int32)
                     of[at], last[inverse] = inverse, at
+                    del distinct, inverse, at, key
                     grams.append(Grams(of, last, np.concatenate(told.pop(n)) if n in told else np.zeros(0, np.int64)))
                 automaton = Automaton.of(grams, own.first, tokens, types, strength)
                 known = grams[0].count[grams[0].of]
+                word = grams[0].of
+                del grams
                 start, length, lead, ahead = lanes(own.first, len(own.word), order)
-                full = np.add.reduceat(automaton.traverse(grams[0].of, start, length, lead), ahead)
+                full = np.add.reduceat(automaton.traverse(word, start, length, lead), ahead)
                 base = own.per_text(np.log10((known + 0.5) / (tokens + 0.5 * (types + 1))))
                 sizes = np.diff(np.append(own.first, len(own.word)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field("id").type), pa.array(held), pa.array(sizes), pa.array(own.per_text((known > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(full)], schema=arrow)
