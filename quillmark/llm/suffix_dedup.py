@@ -7,16 +7,20 @@ the transforms of shards of segments are merged (`bwt`) down to `length` bytes:
 repeated intervals, and in each the smallest (document, place) stays.
 
 Copies cost little: of equal documents only the one with the smallest id takes part, the others are repeats from end to end;
-equal segments of a block are sent once, and a key's equal segments from several blocks enter the merge once. A key that more
-than `HOT_SEGMENTS` segments share (a line that a third of all documents have, with as many contexts) is not merged in one
-place: its windows are dealt out one by one, by a 128-bit hash of their bytes, and compared by it.
-
-Flow: texts are packed into compressed blocks, written once to the shared folder. Every later step is either a pass over
-blocks or an exchange of packed numbers by hash range: a block asks in a certain order, the range answers in that order, and
-the block, which can tell its segments again, applies the answer. Ranges grow in number with the blocks.
-
-Defined cases: null texts count as empty; texts shorter than `length` lose nothing; a null id comes before all others; rows of
-equal id are ordered by their place in the table as read; an empty table gives an empty result; other columns are ignored.
+equal segments of a block are sent once, and a key's equal segments from several blocks enter the merge once. A group that more
+than `HOT_SEGMENTS` segments share (a line that a third of all documents have, with as many contexts) is split by a longer
+key: its segments are cut into their windows, and the key of a window is a hash of all its bytes. They are dealt out by it, and
+meet and merge like other strings do.
+
+Flow: texts are packed into compressed blocks, written once to the shared folder; later steps move their names. Every step is
+either a pass over blocks or an exchange by hash range: a block asks in a certain order, the range answers in that order, and
+the block, which can tell its segments again, applies the answer. Keys are mixed after the minimum is taken, so that ranges are
+of one size. There are as many ranges as blocks (the next power of two); messages grow with the square of the blocks, their
+bytes in proportion to the input, so beyond some 30 GB raise `block_bytes` with the square root of the input.
+
+Defined cases: null texts count as empty; texts shorter than `length` lose nothing; ids are integers, a null id comes before
+all others; rows of equal id are ordered by their place in the table as read; a very long text is cut into segments a piece at a
+time; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ from quillmark.llm import bwt
 from quillmark.llm.common import _arrow_schema, block_parts, cut, hash_ranges, pack_blocks, planes, unplaned
 
 BLOCK_BYTES = 16 << 20
-RANGES_PER_BLOCK = 4
+#: Segments of one key that meet in one place; beyond, the key is split.
 HOT_SEGMENTS = 4096
+#: Windows of a text that are keyed at once.
+PIECE = 1 << 20
 #: Bytes of segments whose transforms are merged at once, but for a key that has more.
 MERGE_BYTES = 1 << 18
 FIRST = np.iinfo(np.int64).min
@@ -69,13 +75,23 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 def segments(text: bytes, length: int, key_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, first window and end of windows of each segment: a new one starts where the smallest run of the window changes,
-    be it to another run of the same bytes."""
-    if len(text) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = run_hashes(np.frombuffer(text, np.uint8), key_bytes)
-    m = window_minima(h, length - key_bytes + 1)
-    start = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[: len(m) - 1] == m[:-1])]))
-    return m[start], start, np.append(start[1:], len(m))
+    be it to another run of the same bytes, and where a piece of the text does."""
+    keys, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    windows = max(0, len(text) - length + 1)
+    for a in range(0, windows, PIECE):
+        n = min(PIECE, windows - a)
+        h = run_hashes(np.frombuffer(text, np.uint8, n - 1 + length, a), key_bytes)
+        m = window_minima(h, length - key_bytes + 1)
+        start = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[: len(m) - 1] == m[:-1])]))
+        keys.append(_mixed(m[start]))  # minima are small numbers
+        starts.append(start + a)
+    start = np.concatenate(starts)
+    return np.concatenate(keys), start, np.append(start[1:], windows) if len(start) else start
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 @dataclass
@@ -87,9 +103,9 @@ class Block:
     owners: list[int]
 
     @staticmethod
-    def of(payload: bytes, owners: list[int] | None = None) -> Block:
+    def of(place: dict, owners: list[int] | None = None) -> Block:
         ids, texts = [], []
-        for b in block_parts(payload):
+        for b in block_parts(place["path"], place["start"], place["size"]):
             ids += [FIRST if i is None else i for i in b.column(0).to_pylist()]
             texts += b.column(1).to_pylist()
         return Block(ids, texts, sorted(owners or [], key=lambda i: (ids[i], i)))
@@ -104,41 +120,51 @@ class Block:
 
 @dataclass
 class Entries:
-    """Distinct strings that a block asks about: segments that repeat, and single windows of hot keys. For each, in the order of
-    hash (`at` puts the order in which they were found into that), where the string occurs; the first occurrence is the smallest."""
+    """Distinct strings that a block asks about: segments that repeat, or windows of segments whose key is split. For each, in the
+    order of its key, where it occurs; the first occurrence is the smallest. copies: row, place and number of windows of segments
+    that are repeats as a whole."""
 
     kind: int
     hash: np.ndarray
     strings: list
     places: list[list[tuple[int, int]]]
     windows: np.ndarray
+    copies: list[tuple[int, int, int]]
 
 
 def entries(block: Block, cut: tuple, state: np.ndarray, length: int) -> tuple[Entries, Entries]:
     """state: ONCE, REPEATED or HOT for each segment."""
     key, row, start, end = cut
-    found: dict[bytes, list[tuple[int, int]]] = {}
-    keys: list[int] = []
-    sizes: list[int] = []
-    at = np.flatnonzero(state == REPEATED)
-    for k, r, a, z in zip(key[at].tolist(), row[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-        s = block.texts[r][a : z - 1 + length]
-        if s in found:
-            found[s].append((r, a))
-        else:
-            found[s] = [(r, a)]
-            keys.append(k)
-            sizes.append(z - a)
+
+    def distinct(kind: int) -> tuple[dict[bytes, list[tuple[int, int]]], list[int], list[int]]:
+        found: dict[bytes, list[tuple[int, int]]] = {}
+        keys: list[int] = []
+        sizes: list[int] = []
+        at = np.flatnonzero(state == kind)
+        for k, r, a, z in zip(key[at].tolist(), row[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+            s = block.texts[r][a : z - 1 + length]
+            if s in found:
+                found[s].append((r, a))
+            else:
+                found[s] = [(r, a)]
+                keys.append(k)
+                sizes.append(z - a)
+        return found, keys, sizes
+
+    found, keys, sizes = distinct(REPEATED)
+    hot, _, widths = distinct(HOT)
     single: dict[bytes, list[tuple[int, int]]] = {}
-    at = np.flatnonzero(state == HOT)
-    for r, a, z in zip(row[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-        text = block.texts[r]
-        for p in range(a, z):
-            single.setdefault(hashlib.blake2b(text[p : p + length], digest_size=16).digest(), []).append((r, p))
+    for (s, places), n in zip(hot.items(), widths, strict=True):
+        r, a = places[0]
+        for p in range(n):
+            single.setdefault(s[p : p + length], []).append((r, a + p))
+    copies = [(r, a, n) for places, n in zip(hot.values(), widths, strict=True) for r, a in places[1:]]
+    whole = np.fromiter((int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") for s in single), np.uint64, len(single))
     out = []
-    for kind, hashes, strings, places, windows in ((REPEATED, np.array(keys, np.uint64), list(found), list(found.values()), np.array(sizes, np.int64)), (HOT, np.frombuffer(b"".join(single), ">u8")[::2].astype(np.uint64), list(single), list(single.values()), np.ones(len(single), np.int64))):
+    for kind, hashes, asked, windows, more in ((REPEATED, np.array(keys, np.uint64), found, np.array(sizes, np.int64), []), (HOT, whole, single, np.ones(len(single), np.int64), copies)):
         order = np.argsort(hashes, kind="stable")
-        out.append(Entries(kind, hashes[order], [strings[i] for i in order], [places[i] for i in order], windows[order]))
+        strings, places = list(asked), list(asked.values())
+        out.append(Entries(kind, hashes[order], [strings[i] for i in order], [places[i] for i in order], windows[order], more))
     return out[0], out[1]
 
 
@@ -150,7 +176,7 @@ def _unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def decide(kind: int, asked: list[tuple], length: int, shards: int = 4) -> list[np.ndarray]:
+def decide(asked: list[tuple], length: int, shards: int = 4) -> list[np.ndarray]:
     """asked: for each block hashes, strings, number of windows, and id, row and place of the first occurrence. For each of its
     strings a mask of the windows of that occurrence that also start earlier; all of them if the string does."""
     sizes = np.cumsum([len(a[0]) for a in asked])
@@ -166,21 +192,20 @@ def decide(kind: int, asked: list[tuple], length: int, shards: int = 4) -> list[
         owner.setdefault(strings[i], i)
     own = np.array(list(owner.values()), np.int64)
     mask[own] = 0
-    if kind == REPEATED:
-        own = own[np.argsort(key[own], kind="stable")]
-        alone = np.concatenate([[True], key[own][1:] != key[own][:-1]]) & np.concatenate([key[own][1:] != key[own][:-1], [True]])
-        own = own[~alone]  # one string of a key: its windows are distinct, and what repeats it is a copy
-        for part in _groups(own, key[own], np.array([len(strings[i]) for i in own], np.int64)):
-            interval, string, at = bwt.repeated([strings[i] for i in part], length, shards)
-            whole = at < windows[part][string]
-            interval, string, at = interval[whole], string[whole], at[whole]
-            if not len(at):
-                continue
-            i = part[string]
-            # the order of windows: id, block, row, then where they start
-            by = np.lexsort((place[i] + at, row[i], source[i], ids[i], interval))
-            later = np.concatenate([[False], interval[by][1:] == interval[by][:-1]])
-            np.bitwise_or.at(mask, i[by][later], np.uint64(1) << at[by][later].astype(np.uint64))
+    own = own[np.argsort(key[own], kind="stable")]
+    alone = np.concatenate([[True], key[own][1:] != key[own][:-1]]) & np.concatenate([key[own][1:] != key[own][:-1], [True]])
+    own = own[~alone]  # one string of a key: its windows are distinct, and what repeats it is a copy
+    for part in _groups(own, key[own], np.array([len(strings[i]) for i in own], np.int64)):
+        interval, string, at = bwt.repeated([strings[i] for i in part], length, shards)
+        whole = at < windows[part][string]
+        interval, string, at = interval[whole], string[whole], at[whole]
+        if not len(at):
+            continue
+        i = part[string]
+        # the order of windows: id, block, row, then where they start
+        by = np.lexsort((place[i] + at, row[i], source[i], ids[i], interval))
+        later = np.concatenate([[False], interval[by][1:] == interval[by][:-1]])
+        np.bitwise_or.at(mask, i[by][later], np.uint64(1) << at[by][later].astype(np.uint64))
     return np.split(mask, sizes[:-1])
 
 
@@ -202,7 +227,7 @@ TOLD = "block long, kind int, range int, payload binary"
 
 
 def _blocks_with(blocks: DataFrame, *notes: DataFrame) -> DataFrame:
-    """block, payload, notes: what was told to the block, by kind and range."""
+    """BLOCK, notes: what was told to the block, by kind and range."""
     told = notes[0]
     for n in notes[1:]:
         told = told.unionByName(n)
@@ -214,10 +239,11 @@ OWNERS, STATES, MASKS = 10, 11, 12
 
 def _read(batch: pa.RecordBatch, length: int, key_bytes: int) -> Iterator[tuple[int, Block, tuple, list[dict]]]:
     for r in range(batch.num_rows):
-        notes = batch.column(2)[r].as_py() or []
+        place = batch.slice(r, 1).to_pylist()[0]
+        notes = place["notes"] or []
         owners = [i for n in notes if n["kind"] == OWNERS for i in np.frombuffer(n["payload"], np.int32).tolist()]
-        block = Block.of(batch.column(1)[r].as_py(), owners)
-        yield batch.column(0)[r].as_py(), block, block.cut(length, key_bytes), notes
+        block = Block.of(place, owners)
+        yield place["block"], block, block.cut(length, key_bytes), notes
 
 
 def _states(cut: tuple, notes: list[dict]) -> np.ndarray:
@@ -227,19 +253,19 @@ def _states(cut: tuple, notes: list[dict]) -> np.ndarray:
     return np.concatenate(told)[np.unique(cut[0], return_inverse=True)[1]]
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, block_bytes: int | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end of the removed runs, in bytes), and the
     remaining bytes if asked for. length - key_bytes must be below 64: so many windows has a segment at most."""
     assert 0 < key_bytes <= length < key_bytes + 64
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    blocks = cut(pack_blocks(rows, BLOCK_BYTES))
-    bits = max(0, (blocks.count() * RANGES_PER_BLOCK - 1).bit_length())
+    blocks = pack_blocks(rows, block_bytes or BLOCK_BYTES)
+    bits = max(0, (blocks.count() - 1).bit_length())
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                block = Block.of(b.column(1)[r].as_py())
+                block = Block.of(b.slice(r, 1).to_pylist()[0])
                 n = len(block.ids)
                 yield pa.RecordBatch.from_pydict({"id": pa.array(block.ids, pa.int64()), "block": pa.array([b.column(0)[r].as_py()] * n, pa.int64()), "row": pa.array(range(n), pa.int32()), "digest": pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in block.texts], pa.binary())})
 
@@ -280,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_c
 
     def masks(t: pa.Table) -> pa.Table:
         asked = sorted(t.to_pylist(), key=lambda r: r["block"])
-        found = decide(asked[0]["kind"], [_unpacked(r["payload"]) for r in asked], length)
+        found = decide([_unpacked(r["payload"]) for r in asked], length)
         return _told(asked, MASKS + asked[0]["kind"], [planes(m) for m in found])
 
     told_masks = cut(_blocks_with(blocks, owners, told_states).mapInArrow(ask, ASKED).groupBy("kind", "range").applyInArrow(masks, TOLD))
@@ -310,6 +336,8 @@ def covered(block: Block, asked: tuple[Entries, Entries], notes: list[dict], len
     """The removed runs of each row, maximal and in order."""
     found: list[list[tuple[int, int]]] = [[] for _ in block.ids]
     for e in asked:
+        for row, place, windows in e.copies:
+            found[row].append((place, place + windows - 1 + length))
         told = [unplaned(n["payload"], np.uint64) for n in notes if n["kind"] == MASKS + e.kind]
         for places, windows, mask in zip(e.places, e.windows.tolist(), np.concatenate(told).tolist() if told else [], strict=True):
             for row, place in places[1:]:

@@ -59,6 +59,8 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, corpus(rng), 1)
     monkeypatch.setattr(X, "BLOCK_BYTES", 20_000)
     check(spark, corpus(rng), 3)
+    monkeypatch.setattr(X, "PIECE", 700)
+    check(spark, corpus(rng), 2)
     monkeypatch.setattr(X, "HOT_SEGMENTS", 8)
     check(spark, corpus(rng), 3)
 
@@ -71,3 +73,21 @@ def test_small_lengths_and_empty(spark):
     assert X.remove_repeats(empty).count() == 0
     kept = X.remove_repeats(spark.createDataFrame([(1, "q" * 250)], "doc_id long, text string"), with_kept=True).first()
     assert bytes(kept.kept) == b"q" and kept.n_removed == 249
+
+
+def test_keys_fill_ranges_evenly():
+    rng = random.Random(23)
+    text = " ".join(f"{rng.randrange(10**6)}" for _ in range(40_000)).encode()
+    counts = [z - a for _, a, z in X.hash_ranges(X.np.unique(X.segments(text, 100, 64)[0]), 5)]
+    assert len(counts) == 32 and max(counts) < 1.2 * min(counts)
+
+
+def test_long_text_in_pieces():
+    """Memory beyond the text and its segments is that of a piece."""
+    import tracemalloc
+
+    text = random.Random(24).randbytes(40 << 20)
+    tracemalloc.start()
+    key, start, end = X.segments(text, 100, 64)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(text) and end[-1] == len(text) - 99 and (start[1:] == end[:-1]).all()
+    tracemalloc.stop()
