@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import block_parts, cut, hash_ranges, pack_blocks, planes, split_words, unplaned
+from quillmark.llm.common import block_parts, cut, dealt, hash_ranges, pack_blocks, planes, split_words, unplaned
 
 #: Bytes of text in a block (a longer text is a block of its own).
 BLOCK_BYTES = 8 << 20
@@ -325,7 +325,7 @@ def score(docs: DataFrame, order: int = 3, strength: float | tuple[float, ...] =
     bits, wide = max(0, (count - 1).bit_length()), key_bits(count, block_bytes or BLOCK_BYTES)
     answers = cut(answered(asked(blocks, order, bits, wide), order))
     tokens, types = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    gathered = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "payload"))).alias("answers"))
+    gathered = dealt(answers, count).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "payload"))).alias("answers"))
     arrow = pa.schema([("id", _arrow_type(docs, id_col)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +356,7 @@ def score(docs: DataFrame, order: int = 3, strength: float | tuple[float, ...] =
                 yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field("id").type), pa.array(held), pa.array(sizes), pa.array(own.per_text((known > 0).astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(full)], schema=arrow)
             pa.default_memory_pool().release_unused()
 
-    return blocks.join(gathered, "block").select("block", "path", "start", "size", "answers").mapInArrow(run, f"id {kind}, {SCORES}").withColumnRenamed("id", id_col)
+    return dealt(blocks, count).join(gathered, "block").select("block", "path", "start", "size", "answers").mapInArrow(run, f"id {kind}, {SCORES}").withColumnRenamed("id", id_col)
 
 
 def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:

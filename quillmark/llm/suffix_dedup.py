@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import bwt
-from quillmark.llm.common import _arrow_schema, block_parts, cut, hash_ranges, pack_blocks, planes, unplaned
+from quillmark.llm.common import _arrow_schema, block_parts, cut, dealt, hash_ranges, pack_blocks, planes, unplaned
 
 BLOCK_BYTES = 16 << 20
 #: Segments of one key that meet in one place; beyond, the key is split.
@@ -226,12 +226,12 @@ ASKED = "kind int, range int, block long, payload binary"
 TOLD = "block long, kind int, range int, payload binary"
 
 
-def _blocks_with(blocks: DataFrame, *notes: DataFrame) -> DataFrame:
+def _blocks_with(blocks: DataFrame, count: int, *notes: DataFrame) -> DataFrame:
     """BLOCK, notes: what was told to the block, by kind and range."""
     told = notes[0]
     for n in notes[1:]:
         told = told.unionByName(n)
-    return blocks.join(told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "payload"))).alias("notes")), "block", "left")
+    return dealt(blocks, count).join(dealt(told, count).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "payload"))).alias("notes")), "block", "left")
 
 
 OWNERS, STATES, MASKS = 10, 11, 12
@@ -260,7 +260,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_c
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     blocks = pack_blocks(rows, block_bytes or BLOCK_BYTES)
-    bits = max(0, (blocks.count() - 1).bit_length())
+    count = blocks.count()
+    bits = max(0, (count - 1).bit_length())
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_c
         state = np.where(total >= HOT_SEGMENTS, HOT, np.where(total > 1, REPEATED, ONCE)).astype(np.uint8)[inverse]
         return _told(asked, STATES, [planes(s) for s in np.split(state, np.cumsum([len(k) for k in keys])[:-1])])
 
-    told_states = cut(_blocks_with(blocks, owners).mapInArrow(counts, ASKED).groupBy("range").applyInArrow(states, TOLD))
+    told_states = cut(_blocks_with(blocks, count, owners).mapInArrow(counts, ASKED).groupBy("range").applyInArrow(states, TOLD))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_c
         found = decide([_unpacked(r["payload"]) for r in asked], length)
         return _told(asked, MASKS + asked[0]["kind"], [planes(m) for m in found])
 
-    told_masks = cut(_blocks_with(blocks, owners, told_states).mapInArrow(ask, ASKED).groupBy("kind", "range").applyInArrow(masks, TOLD))
+    told_masks = cut(_blocks_with(blocks, count, owners, told_states).mapInArrow(ask, ASKED).groupBy("kind", "range").applyInArrow(masks, TOLD))
     more = ", kept binary" if with_kept else ""
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>{more}"
     arrow = _arrow_schema(spark, schema)
@@ -321,7 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key_bytes: int = 64, id_c
                 for i in range(0, len(block.ids), 1000):
                     yield pa.RecordBatch.from_pylist([_row(block, j, runs[j], with_kept) for j in range(i, min(i + 1000, len(block.ids)))], schema=arrow)
 
-    return _blocks_with(blocks, owners, told_states, told_masks).mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return _blocks_with(blocks, count, owners, told_states, told_masks).mapInArrow(finish, schema).withColumnRenamed("id", id_col)
 
 
 def _arrow_asked() -> pa.Schema:
