@@ -1,7 +1,9 @@
 """A corpus pipeline out of the training-data operators: documents in, packed sequences out.
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next one's
-docs. All but the last keep the columns of `documents`.
+docs. All but the last keep the columns of `documents`. Null and empty texts go in the first stage; texts of any length pass
+whole; of repeated rows the second stage keeps one; rows without an id go through like others; an empty table makes empty results
+everywhere; columns of the input other than those of `documents` are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -16,10 +18,15 @@ from quillmark.llm.common import shared_dir, table
 from quillmark.llm.queries import tokenizer_path
 
 
+LEAST_WORDS = 5
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that the quality rules keep; verdicts are made where the row is, so nothing is joined back."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.keep(docs, model)
+    """Keeps the rows that the quality rules keep; verdicts are made where the row is, so nothing is joined back. A short text is
+    no bad one as such (those labelled good are as often short as others), so the rule on words asks for one shingle of the
+    next stage, and the forest judges the rest."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), least_words=LEAST_WORDS)
+    return quality.keep(docs, model, LEAST_WORDS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

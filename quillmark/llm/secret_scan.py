@@ -2,15 +2,15 @@
 
 Two second-order models over the characters of a token are trained from labelled samples: one on random strings
 (keys found by the patterns, and strings drawn from the usual key alphabets), one on ordinary identifiers (words of
-the texts outside the found keys, and joined words). A token whose log-likelihood ratio per character exceeds the
+the texts outside the found keys, joined words, numbers). A token of 16 characters or more (the shortest the models are trained on) whose log-likelihood ratio per character exceeds the
 threshold is reported as kind `random`, unless a pattern's span overlaps it. The threshold lies above every ordinary
 token of the samples that were held out of training.
 
 Scale: the models are fixed tables of some 70^3 numbers, fitted on a bounded sample (see `fit`); scanning is one
 narrow pass over whole texts, without a shuffle.
 
-Defined cases: null texts count as empty and have no spans; repeated rows are scanned each; an empty table gives an
-empty result (and models of drawn strings only); other columns are ignored by `scan`, kept by `redact_secrets`.
+Defined cases: null texts count as empty and have no spans; repeated rows are scanned each; a very long text is scanned whole, in
+time and memory in proportion to its length; an empty table gives an empty result (and models of drawn strings only); other columns are ignored by `scan`, kept by `redact_secrets`.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _ei
 ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: From the shortest trained length on; shorter random strings are not told from words.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
@@ -82,10 +83,13 @@ class MarkovPair:
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean())
 
     def spans(self, text: str, taken: list[S.Span]) -> list[S.Span]:
-        out = []
+        """The tokens above the threshold that overlap none of `taken`, which is in order of start; both are read once."""
+        out, i, reach = [], 0, 0
         for m in TOKEN.finditer(text):
-            t = m[0]
-            if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(a < m.end() and m.start() < b for _, a, b in taken) and self.score(t) > self.threshold:
+            while i < len(taken) and taken[i][1] < m.end():
+                reach = max(reach, taken[i][2])
+                i += 1
+            if reach <= m.start() and self.score(m[0]) > self.threshold:
                 out.append(("random", m.start(), m.end()))
         return out
 
@@ -110,11 +114,17 @@ def joined(words: list[str], n: int, seed: int) -> list[str]:
     return out
 
 
+def numbered(n: int, seed: int) -> list[str]:
+    """Plain numbers, which are no secrets as such: accounts, cards, times."""
+    rng = random.Random(seed)
+    return ["".join(rng.choices("0123456789", k=rng.randrange(8, 24))) for _ in range(n)]
+
+
 def train(keys: list[str], words: list[str], seed: int = 11) -> MarkovPair:
     """Nine of ten samples train; the threshold is a margin above the highest score of a held-out ordinary token of the
     scanned length, and no less than zero."""
     positive = keys + drawn(4000, seed)
-    negative = words + joined(words, 4000, seed + 1)
+    negative = words + joined(words, 4000, seed + 1) + numbered(1000, seed + 2)
     hold = [t for t in negative[::10] if len(t) >= 16]
     ratio = log_likelihoods(transitions(positive)) - log_likelihoods(transitions([t for i, t in enumerate(negative) if i % 10]))
     pair = MarkovPair(ratio, 0.0)

@@ -14,7 +14,8 @@ star steps on a checkpointed edge table, never on the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are copies; a null
 id takes part but is never the smallest id, unless a component has no other; an empty table gives an empty result;
-other columns are ignored.
+a very long text is hashed whole, in memory of some ten times its size; other columns, whatever their names, are ignored
+by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, map_batches
+from quillmark.llm.common import cut, fresh, map_batches
 
 WIDTH = 64
 #: Entries that one bucket of an exchange should hold at most: 1M of 10 bytes, sorted in some 40 MB.
@@ -202,9 +203,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     some = cut(partnered(nodes, nodes.count(), radius))
     found = links(some, some.count(), radius)
     stars = components(found if more is None else found.union(more).distinct())
-    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    # Fingerprints with links alone; a component's rows are spread by a salt, its one row repeated for each.
+    salts = 16
+    members = stars.select(F.col("u").alias("fp"), "root").union(stars.select(F.col("root").alias("fp"), "root")).distinct()
+    known = members.join(nodes, "fp")
+    smallest = known.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    linked = known.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(smallest, ["root", "salt"]).select("fp", "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -215,12 +220,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_
     from quillmark.llm import shingles
 
     names = docs.columns
+    own, number = fresh("key", names), fresh("nth", names)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"))
-    keyed = docs.withColumn("_key", key)
-    groups = near_duplicates(keyed, shingle, radius, "_key", text_col, shingles.similar(keyed, shingle, similarity, "_key", text_col))
-    chosen = groups.where("_key = component_id").select("_key").distinct()
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(text_col))
-    return keyed.join(chosen, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*names)
+    keyed = docs.withColumn(own, key)
+    groups = near_duplicates(keyed, shingle, radius, own, text_col, shingles.similar(keyed, shingle, similarity, own, text_col))
+    chosen = groups.where(F.col(own) == F.col("component_id")).select(own).distinct()
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(text_col))
+    return keyed.join(chosen, own, "left_semi").withColumn(number, nth).where(F.col(number) == 1).select(*names)
 
 
 def hexadecimal(fp: str = "fp") -> Column:

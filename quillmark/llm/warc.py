@@ -14,7 +14,9 @@ mount or in any store that pyarrow's file systems open.
 
 Defined cases: null html is an empty payload; a null url is left out, control characters and spaces in one are escaped;
 repeated rows with the smallest page_id are all responses; a null page_id never owns a payload unless no other row has it;
-an empty table gives an empty result; other columns are ignored.
+an archive that ends within a record, or has another number of records than `write` said, is an error; an empty table gives
+an empty result; other columns, whatever their names, are ignored. A payload itself is one value of the JVM's, as the table
+read has it; it is cut there into one chunk after another, and no Python worker holds more than one.
 """
 
 from __future__ import annotations
@@ -48,9 +50,10 @@ def record_table(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) ->
     # a page_id may come with several payloads
     joined = rows.join(refers, rows.page_id.eqNullSafe(refers.own) & (F.sha2("payload", 256) == refers.digest), "left")
     kept = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(kept) / chunk).cast("int") - 1, F.lit(0))), lambda i: F.substring(kept, i * chunk + 1, F.lit(chunk)))
-    parts = joined.select("page_id", "url", size.alias("payload_bytes"), F.sha1("payload").alias("sha1"), "refers_to", cuts.alias("chunks"))
-    return parts.select("page_id", "url", "payload_bytes", "sha1", "refers_to", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_no", "chunk")).withColumn("last", F.expr("chunk_no = n_chunks - 1")).drop("n_chunks")
+    final = F.greatest(F.ceil(F.octet_length(kept) / chunk).cast("int") - 1, F.lit(0))
+    parts = joined.select("page_id", "url", size.alias("payload_bytes"), F.sha1("payload").alias("sha1"), "refers_to", kept.alias("kept"), final.alias("final"))
+    numbered = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("final"))).alias("chunk_no"))  # numbers first: only one chunk is cut at a time
+    return numbered.select("page_id", "url", "payload_bytes", "sha1", "refers_to", "chunk_no", F.substring("kept", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"), (F.col("chunk_no") == F.col("final")).alias("last"))
 
 
 def header(page_id: int | None, url: str | None, size: int, sha1: str, refers_to: int | None) -> bytes:
@@ -160,12 +163,12 @@ def read(files: DataFrame, chunk: int = CHUNK, with_payload: bool = True) -> Dat
     def members(path: str) -> Iterator[dict]:
         store, at = open_store(path)
         with store.open_input_stream(at, compression=None, buffer_size=chunk) as f:
-            gz, member, data = zlib.decompressobj(31), Member(chunk), b""
+            gz, member, data, begun = zlib.decompressobj(31), Member(chunk), b"", False
             while True:
                 data = data or f.read(chunk)
                 if not data:
                     break
-                piece = gz.decompress(data, chunk)
+                piece, begun = gz.decompress(data, chunk), True
                 data = gz.unconsumed_tail
                 for part in member.feed(piece):
                     if with_payload and member.left:
@@ -175,12 +178,14 @@ def read(files: DataFrame, chunk: int = CHUNK, with_payload: bool = True) -> Dat
                 if gz.eof:
                     if member.number == 0 and int(member.http["content-length"]) * (member.warc["warc-type"] == "response") == 0:
                         yield {"chunk": b"", "member": member, "last": True}
-                    data, gz, member = gz.unused_data, zlib.decompressobj(31), Member(chunk)
+                    data, gz, member, begun = gz.unused_data, zlib.decompressobj(31), Member(chunk), False
+            if begun:
+                raise ValueError(f"{path}: ends within a record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                rows, size = [], 0
+            for path, n_records in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, size, found = [], 0, 0
                 for x in members(path):
                     m, last = x["member"], x.get("last", False)
                     kind, digest = m.warc["warc-type"], m.warc["warc-payload-digest"].removeprefix("sha1:")
@@ -188,12 +193,15 @@ def read(files: DataFrame, chunk: int = CHUNK, with_payload: bool = True) -> Dat
                         raise ValueError(f"{path}: a payload differs from its digest")
                     rows.append({"page_id": _page(m.warc["warc-record-id"]), "record_type": kind, "refers_to": _page(m.warc.get("warc-refers-to")), "url": m.warc.get("warc-target-uri"), "chunk_no": m.number, "last": last, "chunk": x["chunk"] if with_payload else None, "payload_bytes": int(m.http["content-length"]) if last else None, "payload_digest": digest if last else None})
                     m.number += 1
+                    found += last
                     size += len(x["chunk"]) * with_payload
                     if len(rows) >= 1000 or size >= 4 * chunk:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                         rows, size = [], 0
+                if n_records is not None and found != n_records:
+                    raise ValueError(f"{path}: {found} records instead of {n_records}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    paths = files.select("path")
+    paths = files.select("path", "n_records" if "n_records" in files.columns else F.lit(None).cast("long").alias("n_records"))
     return paths.repartition(max(1, min(paths.count(), 10_000)), "path").mapInArrow(run, READ)

@@ -67,3 +67,35 @@ def test_scan(spark):
     by = {r.doc_id: r for r in got}
     assert by[902].n_phone == 1 and by[902].spans.count("phone") == 2 and by[900].spans == ""
     assert X.scan(df.limit(0), X.fit(df.limit(0))).count() == 0
+
+
+def test_recall_and_false_positives():
+    """Held-out documents: mentions that the patterns miss and that repeat one they find, and numbers that are nothing."""
+    rng = random.Random(2)
+    rows = [e for _ in range(200) for t in sample(rng) for e in X.examples(t)]
+    field = X.learn(*(np.array([r[i] for r in rows], float) for i in range(3)), np.array([r[3] for r in rows]))
+    caught = wrong = asked = plain = 0
+    missed = []
+    for i in range(300):
+        a, b, c, name = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999), f"ann{rng.randrange(999)}.lee"
+        order = f"order {rng.randrange(10**7, 10**8)} shipped"
+        known, again = rng.choice([(f"+1 {a} {b} {c}", f"{a} {b} {c}"), (f"+1 {a} {b} {c}", f"{a}-{b}-{c}"), (f"{name}@mail.example.com", f"{name} (at) mail.example.com"), (f"{name}@mail.example.com", f"{name}@intranet")])
+        text = f"contact {known} now.{' filler' * 60} {order}.{' filler' * 60} or {again} then"
+        found = {text[x:z] for _, x, z in field.spans(text, X.base_spans(text))}
+        asked, caught = asked + 1, caught + (again in found)
+        missed += [again] if again not in found else []
+        plain, wrong = plain + 1, wrong + bool(found - {again})
+    print(f"recall {caught / asked:.3f} of {asked}, documents with a false span {wrong / plain:.4f}")
+    assert caught >= 0.9 * asked and wrong <= 0.02 * plain, missed[:5]
+
+
+def test_many_mentions_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = " x ".join(f"{rng.randrange(10**7, 10**8)}" for _ in range(100_000))
+    field = X.Field(np.zeros((len(X.FEATURES), len(X.LABELS))), np.zeros((5, 5)), np.zeros((5, 5)))
+    tracemalloc.start()
+    field.spans(text, [])
+    assert tracemalloc.get_traced_memory()[1] < 100_000 * 800
+    tracemalloc.stop()

@@ -52,7 +52,7 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(600 + i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), rows
-    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), least_words=5)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         out = stage(spark, docs, str(tmp_path))
         assert sorted(out.columns) == sorted(docs.columns) and dict(out.dtypes) == dict(docs.dtypes)
@@ -60,7 +60,7 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         got = [(r.doc_id, r.text) for r in docs.collect()]
         if i == 0:
-            verdict = {(r.doc_id, r.n_words): r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+            verdict = {(r.doc_id, r.n_words): r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), model, 5).collect()}
             kept = [(d, t) for d, t in kept if verdict[d, len((t or "").split())]]
             assert not any(d is not None and d >= 500 for d, _ in kept) and sum(d is not None and d < 500 for d, _ in kept) >= 105
         elif i == 1:
@@ -83,3 +83,20 @@ def test_stages(spark, tmp_path):
 
 def test_modules_are_used():
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5 and all((decontamination, secret_scan, simhash))
+
+
+def test_empty_table_long_text_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(33)
+    names = "doc_id long, text string, lang string, source string, n_chars long, key int, found_items string, score int"
+    rows = [(i, t, "en", "s", len(t), i, "x", 2) for i, t in enumerate([prose(rng, 60) for _ in range(20)] + [prose(rng, 400_000)])]
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(rng, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("none", []), ("all", rows)):
+        docs = spark.createDataFrame(some, names)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            assert i == 4 or docs.columns == [c.split()[0] for c in names.split(", ")]
+            if i == 3 and some:
+                assert sorted(map(tuple, docs.collect())) == rows
+        assert docs.select("doc_id").distinct().count() == len(some)

@@ -52,3 +52,28 @@ def test_scan(spark):
     assert texts[202].text is None and texts[201].text == rows[101][1] and key not in texts[200].text + texts[205].text
     assert texts[204].text == "[ASSIGN]\"" and texts[0].spans == "k"
     assert X.scan(df.limit(0), X.fit(df.limit(0))).count() == 0
+
+
+def test_recall_and_false_positives():
+    """Labelled tokens that the models never saw and no pattern finds: keys of 20 characters and more, and identifiers."""
+    rng = random.Random(17)
+    words = sorted({"".join(rng.choice(["ba", "cho", "der", "en", "fi", "gra", "hel", "in", "jo", "ker", "li", "mon", "ter", "tion", "ver", "st"]) for _ in range(rng.randrange(2, 6))) for _ in range(4000)})
+    model = X.train([], words[::2])
+    keys = [k for k in X.drawn(1000, 99) if len(k) >= 20]
+    names = [n for n in X.joined(words[1::2], 4000, 98) if len(n) >= 16]
+    hit = lambda t: bool(model.spans(f"see {t} there", []))
+    caught, wrong = sum(map(hit, keys)) / len(keys), sum(map(hit, names)) / len(names)
+    short = [k for k in X.drawn(1000, 97) if 16 <= len(k) < 20]
+    print(f"recall {caught:.3f}, of 16 to 19 characters {sum(map(hit, short)) / len(short):.3f}, false positives {wrong:.4f} of {len(names)}")
+    assert caught >= 0.9 and wrong <= 0.005
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    rng = random.Random(18)
+    text = " ".join(f"{k} token={k}" for k in ("".join(rng.choices(X.ALPHABET[:62], k=24)) for _ in range(20_000)))
+    model, base = X.train([], ["word", "other"]), X.base_spans(text)
+    began = time.time()
+    found = model.spans(text, base)
+    assert len(base) == 20_000 and len(found) > 18_000 and time.time() - began < 10

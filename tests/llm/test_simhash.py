@@ -80,3 +80,10 @@ def test_texts(spark):
     pairs = [(d, brute_print(t)) for d, t, _ in rows[:-1]] + [(len(rows) - 1, simhash.fingerprint(rows[-1][1]))]
     assert sorted((False, r.doc_id, r.fp % 2**64, r.component_id) for r in got) == brute_components(pairs)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, text, 7, 8), (2, text, 9, 10), (3, "other words altogether in this one here", 11, 12)], "doc_id long, text string, key int, nth int")
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, text, 7, 8), (3, "other words altogether in this one here", 11, 12)]

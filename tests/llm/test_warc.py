@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from quillmark.llm import warc as X
 
 
@@ -37,3 +39,20 @@ def test_round_trip(spark):
     small = X.read(X.write(X.record_table(df, least_bytes=10))).where("last").collect()
     assert all(r.record_type == "response" for r in small if r.payload_bytes < 10)
     assert X.read(X.write(X.record_table(df.limit(0)))).count() == 0
+
+
+def test_cut_archives_are_errors(spark, tmp_path):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, f"http://x.example/{i}", "".join(rng.choices("abcdefgh", k=3000))) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path, n = X.write(X.record_table(df)).first()
+    store, at = X.open_store(path)
+    with store.open_input_file(at) as f:
+        whole = f.read()
+    starts = [i for i in range(len(whole)) if whole[i : i + 4] == b"\x1f\x8b\x08\x00"]
+    for size, known in ((int(len(whole) * 0.55), None), (starts[20], n)):  # within a record, and between two
+        (tmp_path / "cut.warc.gz").write_bytes(whole[:size])
+        files = spark.createDataFrame([(str(tmp_path / "cut.warc.gz"), known)], "path string, n_records long")
+        with pytest.raises(Exception, match="ends within a record|records instead of"):
+            X.read(files).collect()
+    (tmp_path / "whole.warc.gz").write_bytes(whole)
+    assert X.read(spark.createDataFrame([(str(tmp_path / "whole.warc.gz"),)], "path string")).where("last").count() == 40
