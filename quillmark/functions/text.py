@@ -16,6 +16,7 @@ DASHES = "[‐‑‒–—―−﹘﹣－]"
 QUOTES = "[«»„“”‟‹›]"
 GARBAGE = r"[^а-яА-Яa-zA-Z0-9\s\.,;:!?—\-\"@]"
 WIKI_RESIDUE = r"__[A-ZА-Я]+__|Страницы\s+с[^\n]*|Литература\s+\d{3,4}\s+года|(?:Категория|Category|Импорт)\s*:?\s*\S[^\n]*|(?:az\.)?lib\.ru\S*"
+TEMPLATES = None  # the place of `drop_templates` among the rules
 WIKITEXT_RULES = (
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<ref[^>/]*>.*?</ref>", ""),
@@ -23,10 +24,11 @@ WIKITEXT_RULES = (
     (r"(?s)\{\|.*?\|\}", ""),
     (r"__[A-ZА-Я]+__", ""),
     (r"(?i)\[\[(?:Категория|Category|Файл|File|Image|Изображение|[a-z]{2,3}):[^\]]*\]\]", ""),
-    (r"\{\{[^{}]*\}\}", ""),
-    (r"\{\{[^{}]*\}\}", ""),
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"),
-    (r"\[https?://\S+ ([^\]]*)\]", "$1"),
+    TEMPLATES,
+    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
+    (r"\[\[([^\]]*)\]\]", "$1"),
+    (r"\[https?://\S+\s+([^\]]*)\]", "$1"),
+    (r"\[https?://\S+\]", ""),
     (r"<[^>]+>", ""),
     (r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"),
     (r"'{2,}", ""),
@@ -94,8 +96,29 @@ def clean(text: Column, entities: Column | None = None) -> Column:
     return reduce(lambda t, f: f(t), steps, text)
 
 
+def drop_templates(text: Column) -> Column:
+    """Text outside {{...}}, nested to any depth: innermost pairs go, as often as braces are deep. Without a partner, closing braces
+    go, opening ones take the rest of the text along. Each pair of braces is one sign first (code points that are no characters),
+    so what is left of a template makes no new braces."""
+    opening, closing = "\ufdd0", "\ufdd1"
+
+    def without(marked: Column) -> Column:
+        signs = F.regexp_extract_all(marked, F.lit(f"([{opening}{closing}])"), F.lit(1))
+
+        def level(s: Column, sign: Column) -> Column:
+            now = F.when(sign == opening, s["now"] + 1).otherwise(F.greatest(s["now"] - 1, F.lit(0)))
+            return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+        depth = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), level, lambda s: s["most"])
+        rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+        flat = F.aggregate(rounds, marked, lambda t, _: F.regexp_replace(t, f"{opening}[^{opening}{closing}]*+{closing}", ""))
+        return F.translate(F.substring_index(flat, opening, 1), closing, "")
+
+    return let(F.replace(F.replace(text, F.lit("{{"), F.lit(opening)), F.lit("}}"), F.lit(closing)), without)
+
+
 def wikitext_plain(text: Column) -> Column:
-    return F.trim(reduce(lambda t, rule: F.regexp_replace(t, *rule), WIKITEXT_RULES, text))
+    return F.trim(reduce(lambda t, rule: drop_templates(t) if rule is TEMPLATES else F.regexp_replace(t, *rule), WIKITEXT_RULES, text))
 
 
 def historical_word(word: Column) -> Column:

@@ -86,6 +86,54 @@ def permutation_p(observed: float, values: list[float], exact: bool) -> float:
     return hits / len(values) if exact else (hits + 1) / (len(values) + 1)
 
 
+def random_orders(labels: list[str], n_random: int, seed: int) -> list[list[str]]:
+    """The same labels in random orders: every author keeps the number of works."""
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(labels).tolist() for _ in range(n_random)]
+
+
+#: Works of a panel whose Gram matrix is sent to all tasks at most: 128 MB.
+MOST_WORKS = 4000
+
+
+def panel_recalls(vectors: DataFrame, ids: list[str], orders: list[list[str]]) -> list[float]:
+    """What `permuted_recall` says of each order of labels (for the works `ids`), for any number of labels. The Gram matrix of a
+    panel of at most MOST_WORKS works goes to every task, which turns an assignment into one product with it; a larger panel
+    takes the relational way."""
+    spark = vectors.sparkSession
+    if len(ids) > MOST_WORKS:
+        table = spark.createDataFrame([(i, w, x) for i, order in enumerate(orders) for w, x in zip(ids, order, strict=True)], "perm int, work_id string, label string")
+        return [r.recall for r in permuted_recall(vectors, table).collect()]
+    place = {w: i for i, w in enumerate(ids)}
+    gram = np.zeros((len(ids), len(ids)))
+    pairs = vectors.alias("a").join(vectors.alias("b"), "term").groupBy(F.col("a.work_id").alias("w"), F.col("b.work_id").alias("o")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("g"))
+    for w, o, g in pairs.toLocalIterator():
+        if w in place and o in place:
+            gram[place[w], place[o]] = g
+    names = sorted(set(orders[0]))
+    codes = np.array([[names.index(x) for x in order] for order in orders])
+    sent = spark.sparkContext.broadcast((gram, codes, len(names)))
+
+    def run(batches):
+        gram, codes, k = sent.value
+        self_ = np.diag(gram)
+        for b in batches:
+            out = []
+            for perm in b["id"]:
+                own = np.eye(k)[codes[perm]]
+                dot = gram @ own
+                square = (own * dot).sum(axis=0)
+                dot -= self_[:, None] * own  # a label's sum without the work itself
+                left = square - own * (2 * dot + self_[:, None])
+                cos = np.where(left > 1e-18, dot / np.sqrt(np.maximum(left, 1e-18)), -1.0)
+                hit = cos.argmax(axis=1) == codes[perm]
+                out.append(float(((own * hit[:, None]).sum(axis=0) / own.sum(axis=0)).mean()))
+            yield b.assign(recall=out)
+
+    rows = spark.range(len(orders), numPartitions=max(1, min(len(orders) // 50, 64))).mapInPandas(run, "id long, recall double")
+    return [r.recall for r in rows.orderBy("id").collect()]
+
+
 def permuted_recall(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """perm, recall: leave-one-work-out nearest-centroid recall, averaged over two labels, for every assignment at once. vectors:
     work_id, term, value (unit rows); assignments: perm, work_id, label. Centroids without a work are sums less its own row; cosines

@@ -80,18 +80,24 @@ def gate(chunks: DataFrame, spec: CaseSpec, feature_set: str) -> dict:
     scores = A.held_out_cosine(vectors, works)
     hits = A.best(scores).join(works, "work_id").select("author", (F.col("candidate") == F.col("author")).alias("correct"))
     recall = hits.groupBy("author").agg(F.avg(F.col("correct").cast("double")).alias("r")).agg(F.avg("r")).first()[0]
-    p = permutation(vectors, works, recall, spec) if len(per) == 2 else None
-    failures = ["work_macro_recall_below_0_80"] * (recall < LEAST_RECALL - EPS) + ["work_permutation_not_significant"] * (p is None or p > MOST_P)
+    p = permutation(vectors, works, recall, spec)
+    failures = ["work_macro_recall_below_0_80"] * (recall < LEAST_RECALL - EPS) + ["work_permutation_not_significant"] * (p > MOST_P)
     return {"status": "fail" if failures else "pass", "work_macro_recall": round(recall, 4), "permutation_p": p, "gate_pass": not failures, "failures": failures}
 
 
 def permutation(vectors: DataFrame, works: DataFrame, observed: float, spec: CaseSpec) -> float:
-    rows = sorted((r.work_id, r.author) for r in works.collect())  # a panel's works
-    ids, first = [w for w, _ in rows], rows[0][1]
-    sets, exact = R.label_assignments(ids, sum(a == first for _, a in rows), spec.max_exact, spec.n_random, spec.seed)
-    table = vectors.sparkSession.createDataFrame([(i, w, "x" if w in s else "y") for i, s in enumerate(sets) for w in ids], "perm int, work_id string, label string")
-    recalls = [r.recall for r in R.permuted_recall(vectors.withColumn("work_id", F.col("work_id").cast("string")), table).collect()]
-    return R.permutation_p(observed, recalls, exact)
+    """p of the recall among assignments of the panel's labels to its works: all of them for two authors if they are few, else
+    random orders of the labels, for any number of authors."""
+    rows = sorted((str(r.work_id), r.author) for r in works.collect())  # a panel's works
+    ids, labels = [w for w, _ in rows], [a for _, a in rows]
+    own = vectors.withColumn("work_id", F.col("work_id").cast("string"))
+    first = labels.count(min(labels))
+    if len(set(labels)) == 2 and math.comb(len(ids), first) <= spec.max_exact:
+        sets, exact = R.label_assignments(ids, first, spec.max_exact, spec.n_random, spec.seed)
+        orders = [["x" if w in s else "y" for w in ids] for s in sets]
+    else:
+        orders, exact = R.random_orders(labels, spec.n_random, spec.seed), False
+    return R.permutation_p(observed, R.panel_recalls(own, ids, orders), exact)
 
 
 def attribute(panel: DataFrame, target: DataFrame, spec: CaseSpec, feature_set: str) -> DataFrame:

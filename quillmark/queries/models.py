@@ -185,7 +185,8 @@ def evidence_score(spark, d):
 
 @query()
 def analyze(spark, d):
-    rows = works(spark, d).dropDuplicates(["text"]).withColumn("work_id", F.col("work_id").cast("string"))
+    first = works(spark, d).groupBy("text").agg(F.min(F.struct("work_id", "author")).alias("w"))
+    rows = first.select("w.author", "w.work_id", "text").withColumn("work_id", F.col("work_id").cast("string"))
     lone = rows.where(F.length("text") > 2000).agg(F.max("work_id")).first()[0]
     return AN.delta_ranking(C.chunk_by_words(rows, 500).withColumn("chunk_id", F.concat_ws("#", "work_id", F.col("ordinal").cast("string"))), rows.where(F.col("work_id") != lone), lone, 150).withColumns({c: F.round(c, 6) for c in ("distance", "margin")})
 

@@ -101,14 +101,18 @@ def boundaries_exact(spark, d):
     return S.boundary_scores(truth(spark, d), guess(spark, d))
 
 
-@query()
+PLACES = f"{SPANS}, bt AS (SELECT doc_id, start AS pos, l, label AS r FROM (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY start) AS l FROM t) WHERE l IS NOT NULL), bp AS (SELECT doc_id, start AS pos, l, label AS r FROM (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY start) AS l FROM p) WHERE l IS NOT NULL), docs AS (SELECT DISTINCT doc_id FROM t)"
+PRF = "SELECT doc_id, tp, n_pred, n_true, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (SELECT *, CASE WHEN n_pred = 0 THEN 1 ELSE tp / n_pred END AS precision, CASE WHEN n_true = 0 THEN 1 ELSE tp / n_true END AS recall FROM (SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_pred FROM bp GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_true FROM bt GROUP BY 1) USING (doc_id)))"
+
+
+@query(f"WITH {PLACES}, sides AS (SELECT docs.doc_id, coalesce((SELECT list(pos ORDER BY pos) FROM bt WHERE bt.doc_id = docs.doc_id), []::BIGINT[]) AS a, coalesce((SELECT list(pos ORDER BY pos) FROM bp WHERE bp.doc_id = docs.doc_id), []::BIGINT[]) AS b FROM docs), hits AS (SELECT doc_id, list_reduce(list_prepend([0, 0]::BIGINT[], list_transform(a, lambda x: [x]::BIGINT[])), lambda s, x: CASE WHEN len(list_filter(range(s[1], len(b)), lambda j: abs(b[j + 1] - x[1]) <= 40)) > 0 THEN [list_filter(range(s[1], len(b)), lambda j: abs(b[j + 1] - x[1]) <= 40)[1] + 1, s[2] + 1]::BIGINT[] ELSE s END)[2] AS tp FROM sides) {PRF}", "precision recall f1")
 def boundaries_within(spark, d):
-    return S.boundary_scores(truth(spark, d), guess(spark, d), 40).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+    return S.boundary_scores(truth(spark, d), guess(spark, d), 40)
 
 
-@query()
+@query(f"WITH {PLACES}, hits AS (SELECT doc_id, count(*) AS tp FROM bt JOIN bp USING (doc_id, pos, l, r) GROUP BY doc_id) {PRF}", "precision recall f1")
 def boundaries_labelled(spark, d):
-    return S.boundary_scores(truth(spark, d), guess(spark, d), 0, labelled=True).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+    return S.boundary_scores(truth(spark, d), guess(spark, d), 0, labelled=True)
 
 
 IOU = f"{SPANS}, iou AS (SELECT t.doc_id, t.start AS t_start, p.start AS p_start, (least(t.\"end\", p.\"end\") - greatest(t.start, p.start)) / (t.\"end\" - t.start + p.\"end\" - p.start - (least(t.\"end\", p.\"end\") - greatest(t.start, p.start))) AS iou FROM t JOIN p ON t.doc_id = p.doc_id AND t.label = p.label AND t.start < p.\"end\" AND p.start < t.\"end\")"

@@ -8,20 +8,22 @@ from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "quillmark", cores: str | None = None, **conf: str) -> SparkSession:
-    """A local session with adaptive execution on; on a cluster the submitted configuration wins."""
-    cores = cores or os.environ.get("BENCH_CPUS", "8")
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
-    } | {k.replace("__", "."): v for k, v in conf.items()}
+    """A local session with adaptive execution on. Where the program was submitted to a cluster, or SPARK_MASTER names one, its
+    configuration stands: only the time zone and what the caller passes are set."""
+    settings = {"spark.sql.session.timeZone": "UTC"}
     builder = SparkSession.builder.appName(app)
-    if not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(f"local[{cores}]")
-    for k, v in settings.items():
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and not os.environ.get("SPARK_MASTER"):
+        settings |= {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.enabled": "true",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "8g",
+        }
+        builder = builder.master(f"local[{cores or os.environ.get('BENCH_CPUS', '8')}]")
+    elif os.environ.get("SPARK_MASTER"):
+        builder = builder.master(os.environ["SPARK_MASTER"])
+    for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Iterable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,33 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the one that driver and executors share; a local one only in a session of one JVM."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="quillmark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def write_tree(rows: DataFrame, root: str) -> None:
+    """rows(path, text) as one UTF-8 file each below `root`, in whatever store the folder is. Writing a file again gives the same."""
+    store = (lambda uri: (fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)) if re.match("/|file:", uri) else fs.FileSystem.from_uri(uri))
+
+    def run(batches):
+        own, top = store(root)
+        for b in batches:
+            for path, text in zip(b["path"], b["text"], strict=True):
+                own.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                with own.open_output_stream(f"{top}/{path}", compression=None) as f:
+                    f.write(text.encode())
+            yield b[["path"]]
+
+    rows.select("path", "text").mapInPandas(run, "path string").agg(F.count(F.lit(1))).collect()
+
+
 def raw_corpus(spark: SparkSession, root: str) -> DataFrame:
     """author, work_id, text of root/<author>/<work>.txt; fails a row that is empty or no valid UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{root}/*/")
@@ -34,7 +65,7 @@ def raw_corpus(spark: SparkSession, root: str) -> DataFrame:
 def fragments(spark: SparkSession, root: str, exclude: Iterable[str] = (), unknown: str = "unknown", least_authors: int = 2, least_chunks: int = 10) -> DataFrame:
     """author, label, work_id, ordinal, text of root/<author>/<work>/<chunk>.txt in order of name, without excluded and unknown authors.
     Fails on an empty chunk, too few authors or too few chunks."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(f"{root}/*/*/").select("value", F.split(F.col("_metadata.file_path"), "/").alias("p"))
+    files = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/*/*/", wholetext=True).select("value", F.split(F.col("_metadata.file_path"), "/").alias("p"))
     rows = files.select(F.element_at("p", -3).alias("author"), F.concat_ws("/", F.element_at("p", -3), F.element_at("p", -2)).alias("work_id"), F.element_at("p", -1).alias("name"), F.trim("value").alias("text"))
     rows = rows.where(~F.col("author").isin([*exclude, unknown])).withColumn("text", F.when(F.col("text") == "", F.raise_error(F.concat(F.lit("empty chunk: "), "work_id"))).otherwise(F.col("text")))
     n = rows.agg(F.count_distinct("author").alias("_a"), F.count(F.lit(1)).alias("_c"))
@@ -45,7 +76,7 @@ def fragments(spark: SparkSession, root: str, exclude: Iterable[str] = (), unkno
 
 
 def unknown_fragments(spark: SparkSession, root: str, unknown: str = "unknown") -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(f"{root}/{unknown}")
+    files = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(f"{root}/{unknown}", wholetext=True)
     return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.trim("value").alias("text"))
 
 
@@ -64,7 +95,7 @@ def load(spark: SparkSession, root: str, weighting: str, **options) -> DataFrame
     """The loader that a weighting needs."""
     if weighting == "work_balanced":
         manifest = spark.read.schema(MANIFEST).json(f"{root}/manifest.json")
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root)
+        files = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root, wholetext=True)
         chunks = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.trim("value").alias("text"))
         return manifest_fragments(chunks, manifest)
     return fragments(spark, root, **options)
