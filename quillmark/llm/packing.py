@@ -7,7 +7,7 @@ the r-th piece of a length takes the r-th slot that the patterns have for that l
 
 Scale: tokenising and placing are narrow passes. Ranks come from row numbers within (length, hash bucket) plus the
 counts of the buckets before it, so one length that a third of all pieces share is spread over the buckets, whose number
-follows the number of pieces. The slots are broadcast: there are at most 2 x capacity patterns, each of at most
+follows the number of pieces, and so are pieces of one length that share an id, or have none. The slots are broadcast: there are at most 2 x capacity patterns, each of at most
 sqrt(2 x capacity) distinct lengths. Pieces (numbers, no texts) are checkpointed once; nothing is tokenised twice.
 
 Defined cases: null and empty texts are documents of their end token alone; repeated rows are packed each; an empty
@@ -236,13 +236,18 @@ def slots_of(patterns: list[Pattern]) -> Slots:
 
 
 def ranked(parts: DataFrame, order: list[str], rows: int) -> DataFrame:
-    """`parts` with `rank`, from 0 without gaps among those of the same length."""
+    """`parts`, read alike each time, with `rank`, from 0 without gaps among those of the same length. A bucket of more than
+    BUCKET_ROWS, which only rows equal in `order` can make, is dealt out by the rows' numbers."""
     buckets = math.ceil(rows / BUCKET_ROWS) * 8
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
-    return parts.withColumn("nth", nth).join(counts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "nth", "before")
+    parts = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    hot = parts.groupBy("length", "bucket").count().where(F.col("count") > BUCKET_ROWS).withColumn("shares", F.ceil(F.col("count") / BUCKET_ROWS) * 8).drop("count")
+    # at most rows / BUCKET_ROWS rows of three numbers
+    parts = parts.join(F.broadcast(hot), ["length", "bucket"], "left").withColumn("share", F.coalesce(F.pmod("row", "shares"), F.lit(0))).drop("shares")
+    key = ["length", "bucket", "share"]
+    before = Window.partitionBy("length").orderBy("bucket", "share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*key).count().select(*key, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order, "row"))
+    return parts.withColumn("nth", nth).join(counts, key).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "share", "row", "nth", "before")
 
 
 def pack(parts: DataFrame, capacity: int = 4096, id_col: str = "doc_id") -> DataFrame:

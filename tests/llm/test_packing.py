@@ -79,3 +79,13 @@ def test_pack(spark, monkeypatch):
     ids = {r.sequence_id: r.ids for r in X.sequences(out).collect()}
     assert sum(map(len, ids.values())) == used
     assert X.pack(X.pieces(df.limit(0), PATH, 256), 256).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(X, "BUCKET_ROWS", 50)
+    rows = [(None, 0, 9)] * 700 + [(7, 0, 9)] * 300 + [(i, 0, 9) for i in range(400)] + [(i, 0, 4) for i in range(90)]
+    parts = X.cut(spark.createDataFrame(rows, "doc_id long, start long, length long"))
+    got = X.ranked(parts, ["doc_id", "start"], len(rows)).collect()
+    assert sorted((r.length, r["rank"]) for r in got) == [(4, i) for i in range(90)] + [(9, i) for i in range(1400)]
+    same = [r["rank"] for r in got if r.doc_id == 7 and r.length == 9]
+    assert len(same) == 301 and sorted(map(str, (r.doc_id for r in got))) == sorted(str(d) for d, _, _ in rows)
