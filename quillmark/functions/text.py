@@ -56,9 +56,9 @@ def modern_letters(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, OLD_LETTERS, NEW_LETTERS), "ъ(?![а-яёА-ЯЁ])", "")
 
 
-def old_orthography_share(text: Column, probe: int = 20_000) -> Column:
-    """Share of old letters among the first `probe` characters; a detector's statistic, so its prefix is its definition."""
-    head = F.substring(text, 1, probe)
+def old_orthography_share(text: Column, probe: int | None = None) -> Column:
+    """Share of old letters in the whole text, or among its first `probe` characters (as the detector below defines it)."""
+    head = F.substring(text, 1, probe) if probe else text
     return F.when(F.length(head) > 0, (F.length(head) - F.length(F.regexp_replace(head, "[ѣѢіІѳѲѵѴ]", ""))) / F.length(head)).otherwise(F.lit(0.0))
 
 

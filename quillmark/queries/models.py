@@ -109,7 +109,7 @@ def impostors(spark, d):
     terms = T.words(F.col("text"))
     table, sizes = V.counts(rows, terms, "author"), V.events(rows, terms, "author")
     vocab = V.most_frequent(table, 300).select("term")
-    return A.impostors(V.relative(table.join(F.broadcast(vocab), "term"), sizes, "author"), "src0", "src1", 50)
+    return A.impostors(V.relative(table.join(F.broadcast(vocab), "term"), sizes, "author"), "src0", "src1")
 
 
 def labelled_vectors(spark, d):
@@ -123,7 +123,7 @@ def labelled_vectors(spark, d):
 @query()
 def logistic_regression(spark, d):
     rows = labelled_vectors(spark, d).cache()
-    p = ML.probabilities(ML.logistic(rows, 1.0, iterations=30), rows)
+    p = ML.probabilities(ML.logistic(rows), rows)
     return p.withColumn("p", F.round("p", 4))
 
 
@@ -134,7 +134,7 @@ def kmeans_silhouette(spark, d):
 
     u = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode("embedding").alias("i", "v"))
     means = u.groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
-    out = ML.kmeans(means.select(F.col("label").alias("unit"), "x", array_to_vector("x").alias("features")), 2, restarts=3)
+    out = ML.kmeans(means.select(F.col("label").alias("unit"), "x", array_to_vector("x").alias("features")), 2)
     return ML.silhouette(out.select("unit", "x", "cluster")).withColumn("silhouette", F.round("silhouette", 6))
 
 

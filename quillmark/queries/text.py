@@ -64,7 +64,7 @@ def modern_letters(spark, d):
     return documents(spark, d).select("doc_id", F.md5(X.modern_letters(TEXT())).alias("digest"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(substr(text, 1, 20000), '[ѣѢіІѳѲѵѴ]')) / length(substr(text, 1, 20000)) AS share FROM documents", "share")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[ѣѢіІѳѲѵѴ]')) / length(text) AS share FROM documents", "share")
 def old_orthography(spark, d):
     return documents(spark, d).select("doc_id", X.old_orthography_share(TEXT()).alias("share"))
 

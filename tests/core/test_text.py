@@ -73,3 +73,9 @@ def test_annotations(spark):
     assert r.noun == r.verb == 1 / 3 and r.adj == 0 and r.suffix_og == 1 / 3 and r.coverage == 2 / 3
     assert {(x.term, x.value) for x in FT.morphology(df).collect()} == {("Number=Plur", 0.5), ("Tense=Pres", 0.5)}
     assert {x.term: x.value for x in FT.dependencies(df).collect()}["det"] == 0.2
+
+
+def test_old_letters_of_the_whole_text(spark):
+    df = spark.createDataFrame([(1, "a" * 30_000 + "ѣ" * 10_000), (2, ""), (3, None)], "id long, text string")
+    got = df.select("id", X.old_orthography_share(F.col("text")).alias("whole"), X.old_orthography_share(F.col("text"), 20_000).alias("head"), X.is_old_orthography(F.col("text")).alias("old")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 0.25, 0.0, False), (2, 0.0, 0.0, False), (3, 0.0, 0.0, False)]
