@@ -50,14 +50,18 @@ def delta_distances(z: DataFrame, centroids: DataFrame, metric: str = "manhattan
     return pairs.groupBy(unit, "candidate").agg((1 - F.coalesce(dot, F.lit(0.0))).alias("distance"))
 
 
-def held_out_delta(z: DataFrame) -> DataFrame:
-    """work_id, author, candidate, distance, each work against centroids without it: the author's sum less its own row, so folds cost
-    nothing. Works that are an author's only one have no own candidate."""
+def held_out_delta(z: DataFrame, metric: str = "manhattan") -> DataFrame:
+    """work_id, author, candidate, distance (as in `delta_distances`), each work against centroids without it: the author's sum less its
+    own row, so folds cost nothing. Works that are an author's only one have no own candidate."""
     sums = z.groupBy("author", "term").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("n")).withColumnRenamed("author", "candidate")
     pairs = z.join(F.broadcast(sums), "term")
     own = F.col("author") == F.col("candidate")
     c = F.when(own & (F.col("n") > 1), (F.col("s") - F.col("z")) / (F.col("n") - 1)).when(~own, F.col("s") / F.col("n"))
-    return pairs.where(~own | (F.col("n") > 1)).groupBy("work_id", "author", "candidate").agg(F.avg(F.abs(F.col("z") - c)).alias("distance"))
+    rows = pairs.where(~own | (F.col("n") > 1)).withColumn("c", c)
+    if metric == "manhattan":
+        return rows.groupBy("work_id", "author", "candidate").agg(F.avg(F.abs(F.col("z") - F.col("c"))).alias("distance"))
+    dot = F.sum(F.col("z") * F.col("c")) / (F.sqrt(F.sum(F.col("z") * F.col("z"))) * F.sqrt(F.sum(F.col("c") * F.col("c"))))
+    return rows.groupBy("work_id", "author", "candidate").agg((1 - F.coalesce(dot, F.lit(0.0))).alias("distance"))
 
 
 def softmax(scores: DataFrame, unit: str, value: str, sign: float = -1.0) -> DataFrame:

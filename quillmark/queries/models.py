@@ -15,8 +15,10 @@ from quillmark.plans import cases as K
 from quillmark.plans import registry as R
 from quillmark.plans import verification as VF
 from quillmark.queries.registry import query, works
-from quillmark.queries.vocabulary import REL, STATS, parts, units
+from quillmark.queries.vocabulary import MFW, REL, STATS, WORK_VOCAB, parts, units
 
+#: The first words by their mean share of a work, in place of the most frequent ones.
+TOP_SHARES = f"{WORK_VOCAB}, mfw AS (SELECT term FROM vocab ORDER BY mean_share DESC, term LIMIT 150)"
 DELTA = f"{STATS}, cent AS (SELECT author AS candidate, term, avg(z) AS c FROM z GROUP BY ALL), dist AS (SELECT work_id, author, candidate, avg(abs(z - c)) AS distance FROM z JOIN cent USING (term) GROUP BY ALL)"
 
 
@@ -52,18 +54,21 @@ def delta_held_out(spark, d):
     return A.nearest(A.held_out_delta(z)).join(units(rows), "work_id")
 
 
-@query()
+NEAREST = "b AS (SELECT work_id, candidate, distance, row_number() OVER (PARTITION BY work_id ORDER BY distance, candidate) AS r FROM dist) SELECT work_id, candidate, distance FROM b WHERE r = 1"
+
+
+@query(f"WITH <works>, <counts>, {DELTA.replace(MFW, TOP_SHARES)}, {NEAREST}", "distance")
 def delta_work_vocabulary(spark, d):
     rows = works(spark, d)
     _, z, centroids = A.delta_model(rows, 150, vocabulary="work")
-    return A.nearest(A.delta_distances(z, centroids)).withColumn("distance", F.round("distance", 6))
+    return A.nearest(A.delta_distances(z, centroids))
 
 
-@query()
+@query(f"WITH <works>, <counts>, {DELTA.replace('c.n / e.events', 'c.n / sum(c.n) OVER (PARTITION BY c.work_id)')}, {NEAREST}", "distance")
 def delta_selected_mass(spark, d):
     rows = works(spark, d)
     _, z, centroids = A.delta_model(rows, 150, denominator="selected")
-    return A.nearest(A.delta_distances(z, centroids)).withColumn("distance", F.round("distance", 6))
+    return A.nearest(A.delta_distances(z, centroids))
 
 
 UNIT = "unit AS (SELECT work_id, author, term, value / sqrt(sum(value * value) OVER (PARTITION BY work_id)) AS value FROM rel)"

@@ -139,10 +139,10 @@ def label_mapping(spark, d):
     return S.label_mapping(truth(spark, d), anonymous)
 
 
-@query()
+@query(f"WITH {OVER}{BOUND[len(SPANS):]}, one AS (SELECT doc_id FROM t GROUP BY doc_id HAVING count(DISTINCT label) = 1), cut AS (SELECT doc_id, count(DISTINCT label) > 1 AS split FROM p JOIN one USING (doc_id) GROUP BY doc_id), fpr AS (SELECT coalesce(avg(CAST(split AS INT)), 0) AS f FROM cut), s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_pred) AS BIGINT) AS n_pred, CAST(sum(n_true) AS BIGINT) AS n_true FROM c), b AS (SELECT *, CASE WHEN n_pred = 0 THEN 1 ELSE tp / n_pred END AS pr, CASE WHEN n_true = 0 THEN 1 ELSE tp / n_true END AS re FROM s) SELECT (SELECT sum(n) FILTER (true_label = pred_label) FROM o) / (SELECT sum(\"end\" - start) FROM t) AS accuracy, tp, n_pred, n_true, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS boundary_f1, f AS document_fpr, f AS work_fpr FROM b, fpr", "accuracy boundary_f1 document_fpr work_fpr")
 def segmentation_report(spark, d):
     work = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("conv_id").cast("string").alias("work_id")).distinct()
-    return S.corpus_report(truth(spark, d), guess(spark, d), work).withColumns({c: F.round(c, 6) for c in ("accuracy", "boundary_f1", "document_fpr", "work_fpr")})
+    return S.corpus_report(truth(spark, d), guess(spark, d), work)
 
 
 @query(f"WITH {SPANS} SELECT doc_id, start, 'gap' AS problem FROM (SELECT *, lag(\"end\") OVER (PARTITION BY doc_id ORDER BY start) AS b FROM t) WHERE b < start")
