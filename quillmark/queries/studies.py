@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.operators import attribution as A
+from quillmark.operators import delta as D
 from quillmark.operators import segments as S
 from quillmark.operators import vocabulary as V
 from quillmark.plans import studies as ST
@@ -39,9 +40,7 @@ def outsider_auc(spark, d):
 
 
 def by_delta(spark, d):
-    rows = works(spark, d)
-    _, z, _ = A.delta_model(rows, 150)
-    return A.nearest(A.held_out_delta(z)).join(units(rows), "work_id")
+    return D.nearest(D.distances(D.space(works(spark, d), 150), held_out=True))
 
 
 @query(f"SELECT author, count(*) FILTER (author = candidate) AS \"right\", count(*) AS works, avg(CAST(author = candidate AS INT)) AS rate FROM ({ORACLE_SQL['delta_held_out']}) GROUP BY author", "rate")
