@@ -50,8 +50,7 @@ def self_attribution(spark, d):
 
 @query(f"WITH <works>, <counts>, {STATS}, s AS (SELECT author AS candidate, term, sum(z) AS s, count(*) AS n FROM z GROUP BY ALL), x AS (SELECT work_id, z.author, candidate, z, CASE WHEN z.author = candidate THEN (s - z) / (n - 1) ELSE s / n END AS c FROM z JOIN s USING (term) WHERE z.author <> candidate OR n > 1) SELECT work_id, author, candidate, 1 - sum(z * c) / (sqrt(sum(z * z)) * sqrt(sum(c * c))) AS distance FROM x GROUP BY ALL", "distance")
 def delta_cosine_held_out(spark, d):
-    _, z, _ = A.delta_model(works(spark, d), 150)
-    return A.held_out_delta(z, "cosine")
+    return D.distances(D.space(works(spark, d), 150), "cosine", held_out=True)
 
 
 @query("WITH f AS (SELECT 'lang' AS factor, source AS a, nullif(lang, '') AS v FROM documents UNION ALL SELECT 'own', source, 's_' || source FROM documents), c AS (SELECT factor, count(*) = count(v) AS complete FROM f GROUP BY factor), fa AS (SELECT factor, bool_and(k = 1) AS fa FROM (SELECT factor, v, count(DISTINCT a) AS k FROM f GROUP BY ALL) GROUP BY factor), af AS (SELECT factor, bool_and(k = 1) AS af FROM (SELECT factor, a, count(DISTINCT v) AS k FROM f GROUP BY ALL) GROUP BY factor) SELECT factor, complete, complete AND fa AS author_determined_by_factor, complete AND af AS factor_determined_by_author, complete AND fa AND af AS perfect_confound FROM c JOIN fa USING (factor) JOIN af USING (factor)")

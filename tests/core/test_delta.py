@@ -11,6 +11,7 @@ from quillmark.sources import files as FS
 NARROW = [
     "self_attribution",
     "delta_attribution",
+    "delta_cosine_held_out",
 ]
 
 
