@@ -12,6 +12,7 @@ NARROW = [
     "self_attribution",
     "delta_attribution",
     "delta_cosine_held_out",
+    "delta_held_out",
 ]
 
 
