@@ -13,6 +13,7 @@ NARROW = [
     "delta_attribution",
     "delta_cosine_held_out",
     "delta_held_out",
+    "delta_work_vocabulary",
 ]
 
 
