@@ -14,6 +14,7 @@ NARROW = [
     "delta_cosine_held_out",
     "delta_held_out",
     "delta_work_vocabulary",
+    "clustered_comparison",
 ]
 
 
