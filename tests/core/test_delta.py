@@ -15,6 +15,7 @@ NARROW = [
     "delta_held_out",
     "delta_work_vocabulary",
     "clustered_comparison",
+    "delta_cosine",
 ]
 
 
