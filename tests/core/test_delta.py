@@ -16,6 +16,7 @@ NARROW = [
     "delta_work_vocabulary",
     "clustered_comparison",
     "delta_cosine",
+    "delta_manhattan",
 ]
 
 
