@@ -17,6 +17,7 @@ NARROW = [
     "clustered_comparison",
     "delta_cosine",
     "delta_manhattan",
+    "delta_selected_mass",
 ]
 
 
