@@ -18,6 +18,7 @@ NARROW = [
     "delta_cosine",
     "delta_manhattan",
     "delta_selected_mass",
+    "delta_softmax",
 ]
 
 
