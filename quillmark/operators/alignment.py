@@ -4,6 +4,7 @@ one pair at a time, over pairs that an equi-join has chosen."""
 from __future__ import annotations
 
 import re
+from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,17 +22,42 @@ def normal_word(word: str) -> str:
 TOKENS = "array<struct<text: string, start: int, end: int>>"
 
 
+#: Bytes of text whose tokens a worker holds at once; one longer text is a piece of its own.
+PIECE = 1 << 20
+
+
 def token_offsets(rows: DataFrame, pattern: re.Pattern = _TOKEN, unit: str = "doc_id") -> DataFrame:
-    """unit, tokens: each with its place in code points."""
+    """unit, tokens: each with its place in code points. Tokens are gathered in Arrow columns, some texts at a time."""
     kind = dict(rows.dtypes)[unit]
 
+    def tokens(texts):
+        import pyarrow as pa
+
+        words, parts, starts, ends, offsets = [], [pa.array([], pa.string())], array("i"), array("i"), array("i", [0])
+        for t in texts:
+            for m in pattern.finditer(t or ""):
+                words.append(m[0])
+                starts.append(m.start())
+                ends.append(m.end())
+                if len(words) == 1 << 16:
+                    parts.append(pa.array(words, pa.string()))
+                    words.clear()
+            offsets.append(len(starts))
+        column = pa.concat_arrays([*parts, pa.array(words, pa.string())])
+        places = [pa.array(memoryview(x), pa.int32()) for x in (starts, ends)]
+        return pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.StructArray.from_arrays([column, *places], ["text", "start", "end"]))
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            yield pd.DataFrame({unit: b[unit], "tokens": [[{"text": m[0], "start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")] for t in b["text"]]})
+            step = max(1, b.num_rows * PIECE // max(b.nbytes, 1))
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                yield pa.RecordBatch.from_arrays([part.column(0), tokens(x.as_py() for x in part.column(1))], [unit, "tokens"])
+            pa.default_memory_pool().release_unused()
 
-    return rows.select(unit, "text").mapInPandas(run, f"{unit} {kind}, tokens {TOKENS}")
+    return rows.select(unit, "text").mapInArrow(run, f"{unit} {kind}, tokens {TOKENS}")
 
 
 BLOCKS = "pair_id long, a_start int, a_end int, b_start int, b_end int, n_words int, a_char int, a_char_end int, b_char int, b_char_end int"
