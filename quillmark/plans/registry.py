@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import tokens as T
 from quillmark.operators import attribution as A
+from quillmark.operators import chars as CH
+from quillmark.operators import delta as D
 from quillmark.operators import features as FT
 from quillmark.operators import vocabulary as V
 from quillmark.sources.files import canonical_hash
@@ -127,21 +129,22 @@ def route(spec: str, weighting: str, confirmatory: bool = False, deploy: bool =
     return model
 
 
-def held_out_scores(spec: str, works: DataFrame, weighting: str = "none") -> DataFrame:
-    """work_id, author, candidate, score (larger is nearer) of a relational model, every work held out. works: author, work_id, text."""
+def held_out_scores(spec: str, works: DataFrame, weighting: str = "none", spaces: dict | None = None) -> DataFrame:
+    """work_id, author, candidate, score (larger is nearer) of a relational model, every work held out. works: author, work_id, text.
+    spaces: those of the same works that other models have made."""
     route(spec, weighting)
     model, n = resolve(spec)
     balanced = weighting == "work_balanced"
     if model.key in ("delta", "delta_cos"):
-        _, z, _ = A.delta_model(works, n, "events" if balanced else "selected", "work" if balanced else "pooled")
+        how = (n, "events" if balanced else "selected", "work" if balanced else "pooled")
+        spaces = {} if spaces is None else spaces
+        if how not in spaces:
+            spaces[how] = D.space(works, *how)
         if model.key == "delta":
-            return A.held_out_delta(z).select("work_id", "author", "candidate", (-F.col("distance")).alias("score"))
-        return A.held_out_cosine(z.select("work_id", "term", F.col("z").alias("value")), works.select("work_id", "author").distinct())
+            return D.distances(spaces[how], held_out=True).select("work_id", "author", "candidate", (-F.col("distance")).alias("score"))
+        return D.held_out_cosines(spaces[how], "z")
     if model.key == "char_cos":
-        terms = T.char_ngrams(F.lower(F.col("text")), 3)
-        table = V.hoisted(V.counts(works, terms))
-        vocab = V.work_vocabulary(table, V.sizes_of(table), 5000) if balanced else V.pooled_vocabulary(table, 2, 5000)
-        return A.held_out_cosine(V.hoisted(V.tfidf(table, vocab)), works.select("work_id", "author").distinct())
+        return CH.trigram_cosines(works, 5000, balanced)
     if model.key == "majority":
         return works.select("work_id", "author").distinct().crossJoin(F.broadcast(A.majority(works.select("work_id", "author").distinct()).select(F.col("author").alias("candidate")))).withColumn("score", F.lit(1.0))
     raise ValueError(f"{spec!r} is learned: see operators.models")
