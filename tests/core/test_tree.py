@@ -42,3 +42,17 @@ def test_manifest_and_files_must_agree(spark, root):
     (root / "x" / "w1" / "000.txt").write_text(" ")
     with pytest.raises(Exception, match="empty chunk"):
         FS.load(spark, str(root), "legacy").collect()
+
+
+def test_raw_corpus_and_unknown_texts_are_listed_by_tasks(spark, tmp_path):
+    files = {"a/w1.txt": "one", "a/w 2.txt": "tw\u0451", "b/w1.txt": " three ", "b/_w.txt": "no", "b/note.md": "no", "b/deep/w3.txt": "no", "_c/w1.txt": "no", "top.txt": "no"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    raw = FS.raw_corpus(spark, f"file://{tmp_path}")
+    assert not raw.inputFiles()  # the driver holds no status of a text
+    assert sorted(map(tuple, raw.collect())) == [("a", "a/w 2", "tw\u0451"), ("a", "a/w1", "one"), ("b", "b/w1", " three ")]
+    for text, said in ((b"  ", "empty"), (b"\xff", "UTF-8")):
+        (tmp_path / "a" / "bad.txt").write_bytes(text)
+        with pytest.raises(Exception, match=said):
+            FS.raw_corpus(spark, str(tmp_path)).collect()
