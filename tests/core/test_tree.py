@@ -52,6 +52,10 @@ def test_raw_corpus_and_unknown_texts_are_listed_by_tasks(spark, tmp_path):
     raw = FS.raw_corpus(spark, f"file://{tmp_path}")
     assert not raw.inputFiles()  # the driver holds no status of a text
     assert sorted(map(tuple, raw.collect())) == [("a", "a/w 2", "tw\u0451"), ("a", "a/w1", "one"), ("b", "b/w1", " three ")]
+    unknown = FS.unknown_fragments(spark, str(tmp_path), "b")
+    assert not unknown.inputFiles() and sorted(map(tuple, unknown.collect())) == [("w1.txt", "three"), ("w3.txt", "no")]
+    with pytest.raises(FileNotFoundError):
+        FS.unknown_fragments(spark, str(tmp_path), "none")
     for text, said in ((b"  ", "empty"), (b"\xff", "UTF-8")):
         (tmp_path / "a" / "bad.txt").write_bytes(text)
         with pytest.raises(Exception, match=said):
