@@ -36,3 +36,17 @@ def test_models_make_no_relation_of_works_and_terms(spark, monkeypatch):
     for spec in ("delta:5", "delta_cos:5", "char_cos"):
         for weighting in ("none", "work_balanced"):
             assert R.held_out_scores(spec, works, weighting).select("work_id").distinct().count() == 6
+
+
+def test_best_centroids_are_those_of_the_relational_way(spark, monkeypatch):
+    monkeypatch.setattr(CH, "MOST_WORKS", 3)
+    rng = random.Random(5)
+    rows = [(a, f"{a}{w}", "".join(rng.choices("abcd\u00e9 \n", k=60))) for a in "xyz" for w in range(5)]
+    rows += [("z", "tiny", "ab"), ("solo", "solo", "abc dea"), ("other", "other", "QQQQ"), ("x", "blank", " \n ")]
+    works = spark.createDataFrame(rows, "author string, work_id string, text string").repartition(3)
+    table = V.counts(works, T.char_ngrams(F.lower(F.col("text")), 3)).cache()
+    values = V.tfidf(table, V.pooled_vocabulary(table, 2, 40))
+    want = {r.work_id: r for r in A.best(A.cosine_scores(values, A.cosine_centroids(values, works.select("work_id", "author")))).collect()}
+    monkeypatch.setattr(V, "counts", None)  # no relation of works and trigrams
+    got = {r.work_id: r for r in CH.nearest_trigrams(works, 40).collect()}
+    assert got.keys() == want.keys() and all(got[k].candidate == r.candidate and abs(got[k].score - r.score) < 1e-9 for k, r in want.items())
