@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators import attribution as A
+from quillmark.operators import delta as D
 from quillmark.operators import metrics as M
 from quillmark.operators import resampling as RS
+from quillmark.operators import vocabulary as V
 
 #: How typical a unit is of a closed panel, by its probabilities: large for members.
 TYPICALITY = ("max_prob", "top2_mass", "margin", "neg_entropy")
@@ -81,6 +83,53 @@ def cross_level_scores(values: DataFrame, works: DataFrame, unit: str = "work_id
     return j.where(F.col("all_n") > F.col("n")).select(unit, "author", "level", "candidate", ((F.col("d") - F.col("o")) / length).alias("score"))
 
 
+def cross_level_shares(rows: DataFrame, most: int) -> tuple[list[str], DataFrame]:
+    """Candidates, and work_id, author, level, scores (in their order; null where `cross_level_scores` has no row) over shares of the `most`
+    frequent words. rows: author, work_id, level, text; a work has one of each. A work is one narrow row, its scores are made where it
+    is; the driver holds sums of authors x levels x vocabulary."""
+    import numpy as np
+    import pyarrow as pa
+
+    vocabulary = D.vocabulary_of(rows, most, "pooled")
+    units = V.hoisted(D.counted(rows, vocabulary, ("level",)))
+    cells = [(r.author, r.level) for r in units.select("author", "level").distinct().orderBy("author", "level").collect()]
+    at, authors, levels = {c: k for k, c in enumerate(cells)}, sorted({a for a, _ in cells}), sorted({x for _, x in cells})
+    kind = dict(units.dtypes)["work_id"]
+
+    def vectors(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, D.PIECE):
+                part = b.slice(k, D.PIECE)
+                own = np.array([at[c] for c in zip(part.column("author").to_pylist(), part.column("level").to_pylist(), strict=True)], int)
+                yield part, own, D.unit_rows(D.dense(part.column("cells"), part.column("events"), len(vocabulary)))
+
+    sums = D.summed(units, vectors, cells, len(vocabulary))
+    total, rest = np.zeros((len(authors), len(vocabulary))), np.zeros((len(levels), len(authors), len(vocabulary)))
+    for (a, own), s in zip(cells, sums, strict=True):
+        total[authors.index(a)] += s
+        rest[[k for k, x in enumerate(levels) if x != own], authors.index(a)] += s  # without the own level's works, so none is zero exactly
+    some, there, rest = (total != 0).astype(float).T, rest.any(axis=2), np.stack([D.unit_rows(x) for x in rest]) if levels else rest
+    place = {x: k for k, x in enumerate(levels)}
+
+    def run(batches):
+        for part, _, x in vectors(batches):
+            level = np.array([place[v] for v in part.column("level").to_pylist()], int)
+            score, ok = np.zeros((len(x), len(authors))), ((x != 0).astype(float) @ some > 0) & there[level]
+            for k in np.unique(level):
+                score[level == k] = x[level == k] @ rest[k].T
+            flat = pa.array(score.ravel(), mask=~ok.ravel())
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(authors), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([part.column("work_id"), part.column("author"), part.column("level"), scores], ["work_id", "author", "level", "scores"])
+
+    return authors, units.mapInArrow(run, f"work_id {kind}, author string, level string, scores array<double>")
+
+
+def long_scores(candidates: list[str], scores: DataFrame) -> DataFrame:
+    """work_id, author, level, candidate, score of a work's scores in the order of the candidates."""
+    names = F.array(*map(F.lit, candidates)).cast("array<string>")
+    return scores.select("work_id", "author", "level", F.posexplode("scores").alias("_p", "score")).where("score is not null").select("work_id", "author", "level", F.get(names, F.col("_p")).alias("candidate"), "score")
+
+
 def cross_level_recall(scores: DataFrame, unit: str = "work_id") -> DataFrame:
     """author, level, works, right: units of a level whose best candidate by works of the other levels is their author."""
     own = scores.select(unit, "author", "level").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.operators import attribution as A
+from quillmark.operators import corpus as C
 from quillmark.operators import delta as D
 from quillmark.operators import segments as S
 from quillmark.operators import vocabulary as V
@@ -12,7 +12,7 @@ from quillmark.plans import studies as ST
 from quillmark.queries.evaluation import _VALUES, SCORES, scores
 from quillmark.queries.models import UNIT
 from quillmark.queries.registry import ORACLE_SQL, documents, query, works
-from quillmark.queries.vocabulary import REL, STATS, parts, units
+from quillmark.queries.vocabulary import REL, STATS
 
 # French documents are outsiders to a panel of three languages.
 PANEL = ["de", "en", "es"]
@@ -39,6 +39,11 @@ def outsider_auc(spark, d):
     return ST.outsider_auc(ST.typicality(inside(spark, d)).join(member, "work_id"))
 
 
+def level_scores(spark, d):
+    """Candidates and each work's scores by works of other languages."""
+    return ST.cross_level_shares(C.works(documents(spark, d), keep=[F.coalesce("lang", F.lit("<missing>")).alias("level")]), 150)
+
+
 def by_delta(spark, d):
     return D.nearest(D.distances(D.space(works(spark, d), 150), held_out=True))
 
@@ -61,9 +66,7 @@ def factor_identifiability(spark, d):
 
 @query(f"WITH <works>, <counts>, {REL}, {UNIT}, lv AS (SELECT doc_id AS work_id, coalesce(lang, '<missing>') AS level FROM documents), part AS (SELECT author AS candidate, level, term, sum(value) AS s FROM unit JOIN lv USING (work_id) GROUP BY ALL), rest AS (SELECT candidate, e.level, term, sum(s) AS s FROM part JOIN (SELECT DISTINCT level FROM lv) e ON part.level <> e.level GROUP BY ALL), q AS (SELECT candidate, level, sqrt(sum(s * s)) AS q FROM rest GROUP BY ALL), sc AS (SELECT work_id, author, level, candidate, sum(value * coalesce(rest.s, 0)) / any_value(q) AS score FROM unit JOIN lv USING (work_id) JOIN (SELECT DISTINCT candidate, term FROM part) USING (term) JOIN q USING (candidate, level) LEFT JOIN rest USING (candidate, level, term) GROUP BY ALL) SELECT work_id, author, level, candidate, score FROM sc", "score")
 def cross_level_scores(spark, d):
-    rows, _, sizes, _, chosen = parts(spark, d)
-    level = documents(spark, d).select(F.col("doc_id").alias("work_id"), F.coalesce("lang", F.lit("<missing>")).alias("level"))
-    return ST.cross_level_scores(V.relative(chosen, sizes), units(rows).join(level, "work_id"))
+    return ST.long_scores(*level_scores(spark, d))
 
 
 @query(f"SELECT author, level, count(*) AS works, count(*) FILTER (candidate = author) AS \"right\" FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, candidate) AS r FROM ({ORACLE_SQL['cross_level_scores']})) WHERE r = 1 GROUP BY ALL")

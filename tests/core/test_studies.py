@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmark.functions import tokens as T
 from quillmark.operators import attribution as A
+from quillmark.operators import vocabulary as V
 from quillmark.plans import studies as ST
 
 
@@ -50,6 +52,20 @@ def test_cross_level_against_brute_force(spark):
     assert sum(r.works for r in recall) == 18 and sum(r.right for r in recall) == right
 
 
+def test_cross_level_from_narrow_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"a{i % 3}", i, f"l{i % 2 if i % 3 else 0}", " ".join(rng.choice(list("abcdefgh"), 12))) for i in range(30)] + [("a1", 90, "l0", "zz"), ("a2", 91, "l1", "...")]
+    table = spark.createDataFrame(rows, "author string, work_id long, level string, text string").repartition(3)
+    counts = V.counts(table, T.words(F.col("text"))).cache()
+    chosen = counts.join(V.most_frequent(counts, 6).select("term"), "term")
+    old = ST.cross_level_scores(V.relative(chosen, V.sizes_of(counts)), table.drop("text")).cache()
+    want = {(r.work_id, r.author, r.level, r.candidate): r.score for r in old.collect()}
+    monkeypatch.setattr(V, "counts", None)  # no relation of works and terms
+    new = ST.cross_level_shares(table, 6)
+    got = {(r.work_id, r.author, r.level, r.candidate): r.score for r in ST.long_scores(*new).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_comparison_of_two_models(spark):
     rows = [(i, f"a{i % 4}", i % 4 < 3, i % 8 < 2) for i in range(40)]
     a = spark.createDataFrame([(w, x, p) for w, x, p, _ in rows], "work_id long, author string, correct boolean")
