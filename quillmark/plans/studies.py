@@ -130,6 +130,14 @@ def long_scores(candidates: list[str], scores: DataFrame) -> DataFrame:
     return scores.select("work_id", "author", "level", F.posexplode("scores").alias("_p", "score")).where("score is not null").select("work_id", "author", "level", F.get(names, F.col("_p")).alias("candidate"), "score")
 
 
+def best_of_scores(candidates: list[str], scores: DataFrame, places: int) -> DataFrame:
+    """author, level, works, right as `cross_level_recall` of scores rounded to `places` digits, without a row for each score."""
+    rounded = F.transform("scores", lambda v: F.round(v, places))
+    names = F.array(*map(F.lit, candidates)).cast("array<string>")
+    best = scores.select("author", "level", rounded.alias("s")).where(F.array_max("s").isNotNull()).select("author", "level", F.get(names, (F.array_position("s", F.array_max("s")) - 1).cast("int")).alias("candidate"))
+    return best.groupBy("author", "level").agg(F.count(F.lit(1)).alias("works"), F.sum((F.col("candidate") == F.col("author")).cast("long")).alias("right"))
+
+
 def cross_level_recall(scores: DataFrame, unit: str = "work_id") -> DataFrame:
     """author, level, works, right: units of a level whose best candidate by works of the other levels is their author."""
     own = scores.select(unit, "author", "level").distinct()

@@ -71,7 +71,7 @@ def cross_level_scores(spark, d):
 
 @query(f"SELECT author, level, count(*) AS works, count(*) FILTER (candidate = author) AS \"right\" FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, candidate) AS r FROM ({ORACLE_SQL['cross_level_scores']})) WHERE r = 1 GROUP BY ALL")
 def cross_level_recall(spark, d):
-    return ST.cross_level_recall(cross_level_scores(spark, d).withColumn("score", F.round("score", 6)))
+    return ST.best_of_scores(*level_scores(spark, d), 6)
 
 
 @query(f"WITH da AS ({ORACLE_SQL['delta_held_out']}), co AS (SELECT work_id, author, candidate FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY score DESC, candidate) AS r FROM ({ORACLE_SQL['cosine_held_out']})) WHERE r = 1), j AS (SELECT da.author, CAST(da.candidate = da.author AS INT) AS x, CAST(co.candidate = co.author AS INT) AS y FROM da JOIN co USING (work_id)), s AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS u, sum(x - y) AS num, count(*) AS den FROM j GROUP BY author), dr(draw, u, times) AS (VALUES {_VALUES}), v AS (SELECT draw, sum(num * times) / sum(den * times) AS v FROM s JOIN dr USING (u) GROUP BY draw), e AS (SELECT median(v) AS median, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, avg(CAST(v <= 0 AS INT)) AS share_at_most_zero FROM v), n AS (SELECT count(*) AS works, avg(x) AS accuracy_a, avg(y) AS accuracy_b, CAST(sum(x * (1 - y)) AS BIGINT) AS only_a, CAST(sum((1 - x) * y) AS BIGINT) AS only_b FROM j), m AS (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) AS tail FROM (SELECT only_a AS b, only_b AS c, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM n)) SELECT works, accuracy_a, accuracy_b, only_a, only_b, CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * tail) END AS mcnemar_p, median, lo, hi, NOT (lo <= 0 AND hi >= 0) AS significant, share_at_most_zero FROM n, m, e", "accuracy_a accuracy_b mcnemar_p median lo hi share_at_most_zero")

@@ -60,10 +60,12 @@ def test_cross_level_from_narrow_rows(spark, monkeypatch):
     chosen = counts.join(V.most_frequent(counts, 6).select("term"), "term")
     old = ST.cross_level_scores(V.relative(chosen, V.sizes_of(counts)), table.drop("text")).cache()
     want = {(r.work_id, r.author, r.level, r.candidate): r.score for r in old.collect()}
+    recall = {tuple(r) for r in ST.cross_level_recall(old.withColumn("score", F.round("score", 6))).collect()}
     monkeypatch.setattr(V, "counts", None)  # no relation of works and terms
     new = ST.cross_level_shares(table, 6)
     got = {(r.work_id, r.author, r.level, r.candidate): r.score for r in ST.long_scores(*new).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert {tuple(r) for r in ST.best_of_scores(*new, 6).collect()} == recall
 
 
 def test_comparison_of_two_models(spark):
