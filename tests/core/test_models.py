@@ -107,6 +107,20 @@ def test_models_find_the_styles(spark):
         AN.analyze(rows.unionByName(rows.where("work_id = 'periodic/work1'").withColumn("work_id", F.lit("copy"))), "copy")
 
 
+def test_ranking_needs_no_grid(spark, monkeypatch):
+    rows = corpus(spark)
+    chunks = C.chunk_by_words(rows, 60).withColumn("chunk_id", F.concat_ws("#", "work_id", F.col("ordinal").cast("string")))
+    panel = rows.where("work_id <> 'periodic/work1'")
+    stats, _, centroids = A.delta_model(panel, 12)
+    own, terms = chunks.where("work_id = 'periodic/work1'"), T.words(F.col("text"))
+    values = V.relative(V.counts(own, terms, "chunk_id").join(stats.select("term"), "term"), V.events(own, terms, "chunk_id"), "chunk_id")
+    z = V.zscores(values, stats, own.select("chunk_id"), "chunk_id")
+    want = {r.candidate: r.d for r in A.delta_distances(z, centroids, unit="chunk_id").groupBy("candidate").agg(F.avg("distance").alias("d")).collect()}
+    monkeypatch.setattr(V, "zscores", None)
+    got = {r.candidate: r.distance for r in AN.delta_ranking(chunks, panel, "periodic/work1", 12).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_case(spark):
     rows = C.chunk_by_words(FS.demo_corpus(spark, works=4, words=300), 60).withColumn("chunk_id", F.concat_ws("#", "work_id", F.col("ordinal").cast("string")))
     target = rows.where("work_id = 'periodic/work0'").withColumn("work_id", F.lit("target/work")).withColumn("chunk_id", F.concat(F.lit("t"), "chunk_id"))
